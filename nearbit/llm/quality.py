@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from nearbit.llm.common import barrier, next_to
 
+#: Counters, a power of two.
 BUCKETS = 65_536
 #: Counts added to each bucket, dealt to target and corpus in the ratio of their sizes.
 SMOOTH = 4.0
@@ -38,14 +39,18 @@ SPACE = " \t\n\x0b\x0c\r"
 
 def words_of(text: Column) -> Column:
     """Runs of anything but ASCII white space."""
-    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[ \\t-\\r]+"))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[ \\t-\\r]+"), "")
+
+
+def n_among(text: Column, chars: str) -> Column:
+    """How many of the characters the text has; most texts have none, which a scan tells cheaply."""
+    return F.when(text.rlike(f"[{chars}]"), F.length(text) - F.length(F.translate(text, chars, ""))).otherwise(0)
 
 
 def _hashes(df: DataFrame, text: str) -> DataFrame:
     """Adds ``_h1`` and ``_h2``: hashes of the words and of the neighbouring pairs."""
     df = barrier(df, _w=words_of(F.col(text)))
-    df = barrier(df, _h1=F.transform("_w", lambda w: F.xxhash64(w))).drop("_w")
+    df = barrier(df, _h1=F.transform("_w", lambda w: F.xxhash64(w)))
     return barrier(df, _h2=pairs(F.col("_h1"), 1))
 
 
@@ -56,7 +61,7 @@ def pairs(h: Column, step: int) -> Column:
 
 
 def bucket_of(h: Column, buckets: int) -> Column:
-    return F.pmod(h, F.lit(buckets)).cast("int")
+    return F.shiftrightunsigned(h, 65 - buckets.bit_length()).cast("int")
 
 
 def _counts(df: DataFrame, text: str, buckets: int) -> DataFrame:
@@ -81,18 +86,23 @@ def log_ratios(df: DataFrame, good: DataFrame, doc_id: str, text: str, buckets:
     return F.split(F.lit(",".join(map(repr, out))), ",").cast("array<double>")  # folds into one literal
 
 
-def repeat_words(windows: Column, n_window: int) -> Column:
-    """Words covered by windows that occur twice or more, from the windows' hashes in order."""
+def with_repeats(df: DataFrame, windows: str, n_window: int) -> DataFrame:
+    """Adds ``_repeats``: words covered by windows that occur twice or more, from the windows' hashes in order.
+
+    Sorting the hashes with their places makes equal ones neighbours. Each step
+    is computed once, and only for texts in which a hash repeats.
+    """
+    none = F.array().cast("array<struct<h:bigint,i:int>>")
+    repeats = F.size(F.array_distinct(windows)) < F.size(windows)
     at = F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    ordered = F.array_sort(at)
-    # Of each run of equal hashes, all members; sorting the pairs makes equal hashes neighbours.
-    before = F.concat(F.array(F.lit(None).cast("bigint")), F.transform(F.slice(ordered, F.lit(1), F.greatest(F.size(ordered) - 1, F.lit(0))), lambda x: x["h"]))
-    after = F.transform(next_to(ordered, 1), lambda x: x["h"])
-    zipped = F.arrays_zip(ordered.alias("o"), before.alias("p"), after.alias("n"))
-    again = F.filter(zipped, lambda x: x["o"]["h"].eqNullSafe(x["p"]) | x["o"]["h"].eqNullSafe(x["n"]))
-    where = F.array_sort(F.transform(again, lambda x: x["o"]["i"]))
-    covered = F.zip_with(where, F.concat(next_to(where, 1), F.array(F.lit(2**31 - 1))), lambda a, b: F.least(b - a, F.lit(n_window)))
-    return F.aggregate(covered, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    df = barrier(df, _order=F.when(repeats, F.sort_array(at)).otherwise(none))
+    df = barrier(df, _same=F.zip_with(F.col("_order"), next_to(F.col("_order"), 1), lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))))
+    # A member of a run of equals equals the one after or the one before it.
+    before = F.concat(F.array(F.lit(False)), F.col("_same"))
+    marked = F.zip_with(F.zip_with("_order", "_same", lambda o, s: F.struct(o["i"].alias("i"), s.alias("s"))), F.slice(before, F.lit(1), F.size("_order")), lambda x, p: F.when(x["s"] | p, x["i"]))
+    df = barrier(df, _where=F.sort_array(F.array_compact(marked)))
+    covered = F.zip_with("_where", next_to(F.col("_where"), 1), lambda a, b: F.least(F.coalesce(b - a, F.lit(n_window)), F.lit(n_window)))
+    return barrier(df, _repeats=F.aggregate(covered, F.lit(0).cast("bigint"), lambda acc, x: acc + x)).drop("_order", "_same", "_where")
 
 
 def annotate(df: DataFrame, *, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
@@ -104,25 +114,18 @@ def annotate(df: DataFrame, *, trusted: DataFrame, doc_id: str = "doc_id", text:
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
     good = trusted.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     ratios = log_ratios(df, good, doc_id, text, buckets)
-    rows = df.select(*[c for c in df.columns if c not in made]).withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    rows = _hashes(rows, "_t")
-    rows = barrier(rows, _h4=pairs(F.col("_h2"), 2))
-    rows = barrier(rows, _h8=pairs(F.col("_h4"), 4))
-    t = F.col("_t")
-    bare = F.translate(t, SPACE, "")
+    own = [c for c in df.columns if c not in made]
+    t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    rows = barrier(rows, _lines=F.when(F.contains(t, F.lit("\n")), lines).otherwise(F.array().cast("array<string>")))
-    grams = F.concat("_h1", "_h2")
-    total = F.aggregate(grams, F.lit(0.0), lambda acc, h: acc + F.get(ratios, bucket_of(h, buckets)))
-    rows = rows.select(
-        *[c for c in rows.columns if not c.startswith("_")],
-        F.size("_h1").cast("bigint").alias("n_words"),
-        F.length(bare).cast("bigint").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
-        F.when(F.size(F.array_distinct("_h8")) == F.size("_h8"), F.lit(0).cast("bigint")).otherwise(repeat_words(F.col("_h8"), WINDOW)).alias("n_repeat_words"),
-        (total / F.greatest(F.size("_h1") + F.size("_h2"), F.lit(1))).alias("llr"),
-    )
+    rows = barrier(df.select(*own), _lines=F.when(F.contains(t, F.lit("\n")), lines).otherwise(F.array().cast("array<string>")), n_symbols=n_among(t, "#*$%&|<>").cast("bigint"))
+    # What is read off the text comes first: later steps then carry the hashes only.
+    rows = barrier(rows, _w=words_of(F.col(text)), n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint")).drop("_lines")
+    rows = barrier(rows, _h1=F.transform("_w", lambda w: F.xxhash64(w)), word_chars=F.length(F.array_join("_w", "")).cast("bigint")).drop("_w")
+    rows = barrier(rows, _h2=pairs(F.col("_h1"), 1))
+    total = sum(F.aggregate(h, F.lit(0.0), lambda acc, h: acc + F.get(ratios, bucket_of(h, buckets))) for h in ("_h1", "_h2"))
+    rows = barrier(rows, n_words=F.size("_h1").cast("bigint"), llr=total / F.greatest(F.size("_h1") + F.size("_h2"), F.lit(1)), _h4=pairs(F.col("_h2"), 2)).drop("_h1", "_h2")
+    rows = with_repeats(barrier(rows, _h8=pairs(F.col("_h4"), 4)).drop("_h4"), "_h8", WINDOW).withColumnRenamed("_repeats", "n_repeat_words")
+    rows = rows.select(*own, *made[:5], "llr")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
