@@ -207,14 +207,13 @@ def second_pass(labels: list[int], headings: list[bool]) -> list[int]:
 
 
 def inherits(found: list[Block], labels: list[int]) -> list[int]:
-    """Like second_pass; inside an article, framed blocks between do not count as neighbours."""
-    own = [i for i, b in enumerate(found) if b.inside and not b.framed]
-    if not own:
-        return [BAD if x == OPEN else x for x in second_pass(labels, [b.heading for b in found])]
+    """second_pass among the blocks that could be text; framed ones, and those outside an article, are no neighbours."""
+    article = any(b.inside and not b.framed for b in found)
+    own = [i for i, b in enumerate(found) if not b.framed and (b.inside or not article)]
     out = list(labels)
     for i, label in zip(own, second_pass([labels[i] for i in own], [found[i].heading for i in own]), strict=True):
         out[i] = label
-    if not any(out[i] == GOOD for i in own):  # nothing but short blocks: they are the text
+    if article and not any(out[i] == GOOD for i in own):  # nothing but short blocks: they are the text
         for i in own:
             if labels[i] == OPEN:
                 out[i] = GOOD

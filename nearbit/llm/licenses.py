@@ -99,10 +99,10 @@ class Scanner:
                     low = np.concatenate([low, low[-1:]])
                 low, width = np.minimum(low[::2], low[1::2]), 2 * width
         kept: list[tuple[str, int, int, float]] = []
-        # Of passages that overlap, the fullest match stays, then the longest: a version does not count as its sister.
-        for m in sorted(found, key=lambda m: (-m[3], m[1] - m[2], m[0], m[1])):
+        # Of passages that overlap, the one that holds most of its template stays: a version does not count as its sister.
+        for n, *m in sorted(found, key=lambda m: (-m[0], -m[4], m[1], m[2])):
             if all(m[2] <= x[1] or m[1] >= x[2] for x in kept):
-                kept.append(m)
+                kept.append(tuple(m))
         return sorted(kept, key=lambda m: (m[1], m[0]))
 
     def _verify(self, name: str, own: np.ndarray, s: np.ndarray, lo: int, hi: int, k: int, found: set) -> None:
@@ -118,7 +118,7 @@ class Scanner:
             if n > best[0]:
                 best = (n, a, int(inside[-1]) + k)
         if 100 * best[0] >= self.percent * len(own):
-            found.add((name, best[1], best[2], best[0] / len(own)))
+            found.add((best[0], name, best[1], best[2], best[0] / len(own)))
 
 
 def license_scan(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, n: int = WORDS, percent: int = PERCENT) -> DataFrame:

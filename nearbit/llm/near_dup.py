@@ -100,7 +100,9 @@ def linked_within(sets: list[np.ndarray], percent: int, wide: int = 4096) -> np.
         has[owner[i:j], at[i:j] - lo] = 1
         both += has @ has.T
     both = both.astype(np.int64)  # exact: float32 counts to 2^24
-    return 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    close = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    np.fill_diagonal(close, True)
+    return close
 
 
 def _block_links(percent: int):

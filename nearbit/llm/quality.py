@@ -78,11 +78,11 @@ def log_ratios(df: DataFrame, good: DataFrame, doc_id: str, text: str, buckets:
         for row in _counts(frame, text, buckets).collect():  # at most one row a bucket
             into[row.b] = row.n
     n_raw, n_own = sum(raw), sum(own)
-    share = n_own / n_raw if n_own else 1.0
-    out = []
-    for r, o in zip(raw, own if n_own else raw, strict=True):
+    out = [0.0] * buckets
+    for b in range(buckets if n_own else 0):  # without a target nothing is said
+        share = n_own / n_raw
         # Less the gram itself, so that what no other text has says nothing.
-        out.append(math.log((o + SMOOTH * share) / ((max(r - 1, 0) + SMOOTH) * share)))
+        out[b] = math.log((own[b] + SMOOTH * share) / ((max(raw[b] - 1, 0) + SMOOTH) * share))
     return F.split(F.lit(",".join(map(repr, out))), ",").cast("array<double>")  # folds into one literal
 
 
