@@ -108,7 +108,7 @@ def with_base(df: DataFrame, text: Column) -> DataFrame:
 
 
 def _terms(text: Column) -> Column:
-    """Words of four letters or more, lower case; a word at a cut edge counts as it is."""
+    """Words of four letters or more, lower case."""
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{4,}+"), F.lit(0)))
 
 
@@ -119,8 +119,15 @@ def _mentions(rows: DataFrame) -> DataFrame:
 
     each = F.concat(*map(named, KINDS))
     got = rows.where(F.size(each) > 0)
-    before = lambda s: F.substring(F.col("_t"), (F.greatest(s["start"] - REACH, F.lit(0)) + 1).cast("int"), F.least(s["start"], F.lit(REACH)).cast("int"))
-    after = lambda s: F.substring(F.col("_t"), (s["end"] + 1).cast("int"), F.lit(REACH))
+
+    def before(s: Column) -> Column:
+        part = F.substring(F.col("_t"), (F.greatest(s["start"] - REACH, F.lit(0)) + 1).cast("int"), F.least(s["start"], F.lit(REACH)).cast("int"))
+        return F.when(s["start"] > REACH, F.regexp_replace(part, r"^\p{L}+", "")).otherwise(part)  # a cut word is none
+
+    def after(s: Column) -> Column:
+        part = F.substring(F.col("_t"), (s["end"] + 1).cast("int"), F.lit(REACH))
+        return F.when(F.length("_t") > s["end"] + REACH, F.regexp_replace(part, r"(?<!\p{L})\p{L}++$", "")).otherwise(part)
+
     near = F.transform(each, lambda s: F.struct(s["entity"].alias("entity"), F.concat(before(s), F.lit(" "), after(s)).alias("near")))
     return got.select("_doc", "_mark", F.inline(near))
 
@@ -132,15 +139,19 @@ def flagged_terms(mentions: DataFrame, rows: DataFrame, *, support: int = SUPPOR
     pairs = around.select("entity", "seen", F.explode(_terms(F.col("near"))).alias("term")).distinct()
     pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= support)
     pairs = stored(pairs.join(per_entity.hint("merge"), "entity"), "pairs")
-    terms = pairs.select("term").distinct()
     entities = mentions.select("_doc", "_mark", "entity").distinct().groupBy("entity").agg(F.count("*").alias("docs"))
-    words = rows.select(F.explode(_terms(F.col("_t"))).alias("term"))
-    words = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     n = F.lit(float(max(1, rows.count())))
-    scored = pairs.join(words.hint("merge"), "term").join(entities.hint("merge"), "entity")
-    reveals = F.log((F.col("together") / F.col("surroundings")) / (F.col("df") / n))
     information = -F.log(F.col("docs") / n)
-    scored = scored.where(F.col("docs") < n).withColumn("share", reveals / information).where(F.col("share") >= general)
+    reveals = lambda df: F.log((F.col("together") / F.col("surroundings")) / (F.col(df) / n))
+    # A term is in as many documents as hold it near a mention, or more. Where that alone makes it reveal too little,
+    # the whole corpus need not be asked: nothing that could be flagged is lost, and common words go.
+    nearby = mentions.select("_doc", "_mark", F.explode(_terms(F.col("near"))).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("least"))
+    pairs = pairs.join(entities.hint("merge"), "entity").join(nearby.hint("merge"), "term").where((F.col("docs") < n) & (reveals("least") / information >= general))
+    pairs = stored(pairs.select("entity", "term", "together", "surroundings", "docs"), "candidates")
+    terms = pairs.select("term").distinct()
+    words = rows.select(F.explode(_terms(F.col("_t"))).alias("term"))
+    words = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    scored = pairs.join(words.hint("merge"), "term").withColumn("share", reveals("df") / information).where(F.col("share") >= general)
     return scored.select("entity", "term", "share", F.when(F.col("share") >= remove, "cut").otherwise("term").alias("action"))
 
 
