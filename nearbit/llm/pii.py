@@ -161,7 +161,8 @@ def _term_spans(rows: DataFrame, mentions: DataFrame, flagged: DataFrame) -> Dat
     # Bounded by the terms near the document's own mentions.
     told = told.groupBy("_doc", "_mark", "term").agg(F.min("action").alias("action")).groupBy("_doc", "_mark").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("_map"))
     same = [F.col("x._doc").eqNullSafe(F.col("y._doc")), F.col("x._mark") == F.col("y._mark")]
-    got = rows.select("_doc", "_mark", "_t").distinct().alias("x").join(told.alias("y").hint("merge"), same).select("x._doc", "x._mark", "x._t", "y._map")
+    # Copies of a row go after the join, when few rows are left: the texts are shuffled once.
+    got = rows.alias("x").join(told.alias("y").hint("merge"), same).select("x._doc", "x._mark", "x._t", "y._map").dropDuplicates(["_doc", "_mark"])
     got = barrier(got, _all=spans_of(F.col("_t"), r"(?<!\p{L})\p{L}{4,}+"))
     return got.select("_doc", "_mark", F.filter(F.transform("_all", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.try_element_at(F.col("_map"), F.lower(s["value"])).alias("kind"))), lambda s: s["kind"].isNotNull()).alias("_term"))
 
