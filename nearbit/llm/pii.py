@@ -148,9 +148,8 @@ def flagged_terms(mentions: DataFrame, rows: DataFrame, *, support: int = SUPPOR
     nearby = mentions.select("_doc", "_mark", F.explode(_terms(F.col("near"))).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("least"))
     pairs = pairs.join(entities.hint("merge"), "entity").join(nearby.hint("merge"), "term").where((F.col("docs") < n) & (reveals("least") / information >= general))
     pairs = stored(pairs.select("entity", "term", "together", "surroundings", "docs"), "candidates")
-    terms = pairs.select("term").distinct()
-    words = rows.select(F.explode(_terms(F.col("_t"))).alias("term"))
-    words = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    # Counted before the join, not after: tasks send a count a word, and no occurrence is joined.
+    words = rows.select(F.explode(_terms(F.col("_t"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     scored = pairs.join(words.hint("merge"), "term").withColumn("share", reveals("df") / information).where(F.col("share") >= general)
     return scored.select("entity", "term", "share", F.when(F.col("share") >= remove, "cut").otherwise("term").alias("action"))
 
