@@ -71,7 +71,7 @@ class PieceLengths(dict):
     def totals(self, texts: list[str]) -> list[int]:
         parts = [pre_tokens(t) for t in texts]
         for _ in range(2):  # again if the memory was emptied meanwhile
-            if missing := list(set().union(*parts) - self.keys()):
+            if missing := [p for p in set().union(*parts) if p not in self]:
                 self.learn(missing)
         get = self.__getitem__
         return [sum(map(get, ps)) for ps in parts]
