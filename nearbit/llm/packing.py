@@ -18,6 +18,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -70,16 +71,21 @@ class WordTokens:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [_SPLIT.findall(t.lower()) if _PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
-        new = {w for words in split if words for w in words if w not in self.known}
-        if new:
+        for _ in range(2):  # again if the memory was emptied meanwhile
+            new = set().union(*(words for words in split if words)).difference(self.known)
+            if not new:
+                break
             self._learn(list(new))
-            missing = {w for words in split if words for w in words if w not in self.known}
-            if missing:  # the memory was emptied meanwhile
-                self._learn(list(missing))
         get = self.known.__getitem__
         return [self._whole(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
 
 
+@lru_cache(1)
+def worker_tokens(path: str) -> WordTokens:
+    """One for all tasks that a worker runs."""
+    return WordTokens(path)
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -91,9 +97,9 @@ def pieces(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokeniz
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, last = WordTokens(tokenizer_path(tokenizer)), np.asarray([end_id], "<u4").tobytes()
+        tokens, last = worker_tokens(tokenizer_path(tokenizer)), np.asarray([end_id], "<u4").tobytes()
         step = 4 * capacity
-        for batch in slices(batches, 64):
+        for batch in slices(batches, 256):
             out: list[tuple] = []
             for key, ids in zip(batch.column(0).to_pylist(), tokens.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 ids += last
