@@ -34,9 +34,9 @@ def text_features(text: str | None, dims: int = DIMS) -> tuple[np.ndarray, np.nd
     """Indices and values: features of the distinct words, over the root of their number."""
     distinct = set(words(text))
     if not distinct:
-        return np.zeros(0, np.int64), np.zeros(0, np.float32)
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
     index, count = np.unique(np.concatenate([word_features(w, dims) for w in distinct]).astype(np.int64), return_counts=True)
-    return index, (count / np.sqrt(len(distinct))).astype(np.float32)
+    return index.astype(np.int32), (count / np.sqrt(len(distinct))).astype(np.float32)
 
 
 class WordScores(dict):

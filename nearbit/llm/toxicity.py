@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from nearbit.llm.common import held_out, slices
 from nearbit.llm.text_model import DIMS, WordScores, text_features
 
-POSITIVES, UNLABELLED = 2_000, 5_000
+POSITIVES, UNLABELLED = 2_000, 4_000
 MODELS, STEPS, RATE, DECAY = 2, 100, 0.2, 1e-5
 #: Share of the positives that a feature must occur in.
 SEEN = 0.01
