@@ -3,6 +3,10 @@
 Each stage gets what its predecessor kept, as documents, and returns documents;
 the last returns the pieces' places in the sequences. Between stages the rows
 are written to the shared folder, so a lost executor costs one stage at most.
+
+Extra columns go through the stages as they are, whatever their names. Rows that
+share an id stay or go together. Rows without an id are judged by the rules, but
+are in no group of near duplicates and are never matched with the benchmark.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearbit.llm import decontam, near_dup, packing, pii, quality
-from nearbit.llm.common import stored, table
+from nearbit.llm.common import set_aside, stored, table
 
 #: Share of a document's words, in percent, that may be hit before it goes as a whole.
 MOST_HIT = 0
@@ -19,13 +23,15 @@ MOST_HIT = 0
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return quality.annotate(docs, trusted=table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    rows, back = set_aside(docs, "doc_id", "text")
+    return quality.annotate(rows, trusted=table(spark, sf_dir, "labels")).where("kept").select(*back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the smallest id."""
+    """One document of each group stays: that with the smallest id. Rows without an id stay."""
     kept = near_dup.near_duplicates(docs, n=3, percent=85).where("kept").select("doc_id")
-    return docs.join(kept.distinct().hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    one = docs.join(kept.distinct().hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    return one.union(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,6 +42,12 @@ def held_out(doc_id: Column) -> Column:
     return fold(doc_id) == 2
 
 
+def set_aside(df: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """The frame with all columns but ``used`` under names that no operator makes, and the columns that give their names back."""
+    names = [c if c in used else f"own_{i}" for i, c in enumerate(df.columns)]
+    return df.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)]
+
+
 def barrier(df: DataFrame, **cols: Column) -> DataFrame:
     """Adds columns that are computed once, whatever reads them.
 

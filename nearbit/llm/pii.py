@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearbit.llm.common import barrier, stored
+from nearbit.llm.common import barrier, set_aside, stored
 
 KINDS = ("email", "ip", "card", "phone")
 # Possessive, and anchored where a run of characters begins or the last match ended: linear in the text, and the same
@@ -195,7 +195,7 @@ def described(kind: str, spans: Column) -> Column:
 
 
 def sanitised(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **thresholds) -> DataFrame:
-    """All rows and columns, with base spans generalised to their tag, giveaway terms generalised or removed."""
+    """All rows and columns, whatever their names, with base spans generalised to their tag, giveaway terms generalised or removed."""
     found = find(df, doc_id=doc_id, text=text, **thresholds)
 
     def named(kind: str) -> Column:
@@ -203,8 +203,9 @@ def sanitised(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **th
 
     each = F.concat(*map(named, KINDS), F.col("_term"))
     edits = found.select("_doc", "_mark", F.array_sort(F.array_distinct(each)).alias("_edits")).where(F.size("_edits") > 0).dropDuplicates(["_doc", "_mark"])
-    rows = df.withColumn("_mark", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    names = [c for c in df.columns]
+    rows, back = set_aside(df, doc_id, text)
+    names = rows.columns
+    rows = rows.withColumn("_mark", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     same = [F.col(f"x.{doc_id}").eqNullSafe(F.col("y._doc")), F.col("x._mark") == F.col("y._mark")]
     got = rows.alias("x").join(edits.alias("y").hint("merge"), same, "left").select(*[F.col(f"x.{c}") for c in names], F.col("y._edits").alias("_edits"))
     t = F.col(text)
@@ -218,4 +219,4 @@ def sanitised(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **th
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.coalesce(out, F.lit("")).alias("out"))
 
     done = F.aggregate("_edits", start, step, lambda acc: F.concat(acc["out"], F.substring(t, (acc["at"] + 1).cast("int"), F.length(t))))
-    return got.withColumn(text, F.when(F.col("_edits").isNull(), t).otherwise(done)).select(*names)
+    return got.withColumn(text, F.when(F.col("_edits").isNull(), t).otherwise(done)).select(*back)

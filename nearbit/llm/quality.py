@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearbit.llm.common import barrier, next_to
+from nearbit.llm.common import barrier, next_to, set_aside
 
 #: Counters, a power of two.
 BUCKETS = 65_536
@@ -109,15 +109,16 @@ def annotate(df: DataFrame, *, trusted: DataFrame, doc_id: str = "doc_id", text:
     """All rows and columns, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr and kept.
 
     ``trusted``: ``(doc_id, quality)``; an id with any quality of 1 is in the
-    target. Columns of the names above are replaced.
+    target. Columns of the names above are replaced, all others are kept, whatever their names.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
     good = trusted.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     ratios = log_ratios(df, good, doc_id, text, buckets)
-    own = [c for c in df.columns if c not in made]
+    rows, back = set_aside(df.select(*[c for c in df.columns if c not in made]), doc_id, text)
+    own = rows.columns
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    rows = barrier(df.select(*own), _lines=F.when(F.contains(t, F.lit("\n")), lines).otherwise(F.array().cast("array<string>")), n_symbols=n_among(t, "#*$%&|<>").cast("bigint"))
+    rows = barrier(rows, _lines=F.when(F.contains(t, F.lit("\n")), lines).otherwise(F.array().cast("array<string>")), n_symbols=n_among(t, "#*$%&|<>").cast("bigint"))
     # What is read off the text comes first: later steps then carry the hashes only.
     rows = barrier(rows, _w=words_of(F.col(text)), n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint")).drop("_lines")
     rows = barrier(rows, _h1=F.transform("_w", lambda w: F.xxhash64(w)), word_chars=F.length(F.array_join("_w", "")).cast("bigint")).drop("_w")
@@ -125,7 +126,7 @@ def annotate(df: DataFrame, *, trusted: DataFrame, doc_id: str = "doc_id", text:
     total = sum(F.aggregate(h, F.lit(0.0), lambda acc, h: acc + F.get(ratios, bucket_of(h, buckets))) for h in ("_h1", "_h2"))
     rows = barrier(rows, n_words=F.size("_h1").cast("bigint"), llr=total / F.greatest(F.size("_h1") + F.size("_h2"), F.lit(1)), _h4=pairs(F.col("_h2"), 2)).drop("_h1", "_h2")
     rows = with_repeats(barrier(rows, _h8=pairs(F.col("_h4"), 4)).drop("_h4"), "_h8", WINDOW).withColumnRenamed("_repeats", "n_repeat_words")
-    rows = rows.select(*own, *made[:5], "llr")
+    rows = rows.select(*back, *made[:5], "llr")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 

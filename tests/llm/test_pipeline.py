@@ -1,3 +1,6 @@
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from nearbit.llm.common import table
 
@@ -21,3 +24,27 @@ def test_odd_rows(spark, odd, none, small):
     for df in (odd, none):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, df, small).count() <= df.count() + 10
+
+
+#: What the stages call their own columns on the way.
+INNER = ["_w", "_h1", "_lines", "_mark", "_edits", "_repeats", "_t", "kept", "llr", "n_words", "key", "rep", "doc", "h"]
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_clashing_columns_pass_through(spark, small, name, stage):
+    plain = table(spark, small, "documents").where("doc_id < 60")
+    wide = plain.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in INNER])
+    after = stage(spark, wide, small)
+    rows, bare = after.collect(), stage(spark, plain, small).collect()
+    if name != corpus_pipeline.STAGES[-1][0]:
+        assert after.columns == wide.columns
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in INNER)
+    own = ["doc_id", "text"] if "text" in after.columns else ["doc_id", "piece", "ids_crc32"]
+    assert sorted(tuple(str(r[c]) for c in own) for r in rows) == sorted(tuple(str(r[c]) for c in own) for r in bare)
+
+
+def test_rows_without_an_id_are_no_near_duplicates(spark, small):
+    text = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text), (None, text), (None, text), (3, text), (3, text), (4, None)], "doc_id long, text string")
+    left = corpus_pipeline.near_duplicates(spark, docs, small).collect()
+    assert sorted((r.doc_id for r in left), key=str) == [1, 4, None, None]
