@@ -1,17 +1,20 @@
 """Personal data: base patterns, and terms that give protected entities away.
 
 Base: email, ip, card and phone matches are the protected entities. Method:
-for each entity, the words near its mentions are its possible giveaways. How
-much a term t reveals of an entity e is their pointwise mutual information,
-ln(p(t | e) / p(t)), as a share of the entity's information, -ln p(e). Here
-p(t | e) is the share of e's distinct surroundings that hold t, and p(t), p(e)
-are shares of all documents. Copies of a passage are one surrounding, so they
-count once; a term must occur in ``support`` surroundings of e. At ``general``
-of the information or more the term is generalised to a class, at ``remove`` it
-is removed, in all documents that mention the entity.
-
-Column expressions only. Texts are shuffled only where terms are flagged, to
-reach the documents that mention their entities.
+the words of all documents that mention an entity, mentions left out, are its
+possible giveaways. How much a term t reveals of an entity e is their pointwise
+mutual information, ln(p(e | t) / p(e)), as a share of the entity's information,
+-ln p(e). p(e) is a share of all documents; p(e | t) is the share of t's
+documents that mention e, smoothed by ``smooth`` documents that mention e as
+often as any: (together + smooth p(e)) / (df + smooth). So an entity mentioned
+once has giveaways, and a term is the surer the more documents bear it out. At
+``general`` of the information or more the term is generalised to a class, at
+``remove`` it is removed, in all documents that mention the entity.
+
+Terms are runs of letters and their marks, of any length. Documents are rows:
+copies count each, in all counts alike, so a copied passage reveals as much.
+
+Column expressions only. Of the texts, only those with mentions are stored.
 
 Null and empty texts have no spans. Rows are told apart by id and text, so
 repeated rows all get their spans, null ids too.
@@ -19,7 +22,7 @@ repeated rows all get their spans, null ids too.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearbit.llm.common import barrier, set_aside, stored
@@ -35,9 +38,9 @@ PATTERNS = {
 }
 #: What each kind becomes.
 TAGS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": "<TERM>", "cut": ""}
-#: Characters on either side of a mention that are its surroundings.
-REACH = 80
-SUPPORT = 3
+WORD = r"\p{L}[\p{L}\p{M}]*+"
+#: Documents of no evidence that every estimate starts from.
+SMOOTH = 1.0
 GENERAL, REMOVE = 0.6, 0.85
 
 SPAN = "struct<start:bigint,end:bigint,value:string>"
@@ -108,62 +111,53 @@ def with_base(df: DataFrame, text: Column) -> DataFrame:
 
 
 def _terms(text: Column) -> Column:
-    """Words of four letters or more, lower case."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{4,}+"), F.lit(0)))
+    """Words, lower case, once each; those of addresses are none. The other kinds hold no letters."""
+    rest = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
+    return F.array_distinct(F.regexp_extract_all(F.lower(rest), F.lit(WORD), F.lit(0)))
 
 
-def _mentions(rows: DataFrame) -> DataFrame:
-    """``(doc, mark, entity, near)`` for each base span; ``near`` is the text on both sides."""
-    def named(kind: str) -> Column:
-        return F.transform(f"_{kind}", lambda s: F.struct(F.concat(F.lit(f"{kind}:"), s["value"]).alias("entity"), s["start"].alias("start"), s["end"].alias("end")))
-
-    each = F.concat(*map(named, KINDS))
-    got = rows.where(F.size(each) > 0)
-
-    def before(s: Column) -> Column:
-        part = F.substring(F.col("_t"), (F.greatest(s["start"] - REACH, F.lit(0)) + 1).cast("int"), F.least(s["start"], F.lit(REACH)).cast("int"))
-        return F.when(s["start"] > REACH, F.regexp_replace(part, r"^\p{L}+", "")).otherwise(part)  # a cut word is none
-
-    def after(s: Column) -> Column:
-        part = F.substring(F.col("_t"), (s["end"] + 1).cast("int"), F.lit(REACH))
-        return F.when(F.length("_t") > s["end"] + REACH, F.regexp_replace(part, r"(?<!\p{L})\p{L}++$", "")).otherwise(part)
-
-    near = F.transform(each, lambda s: F.struct(s["entity"].alias("entity"), F.concat(before(s), F.lit(" "), after(s)).alias("near")))
-    return got.select("_doc", "_mark", F.inline(near))
-
-
-def flagged_terms(mentions: DataFrame, rows: DataFrame, *, support: int = SUPPORT, general: float = GENERAL, remove: float = REMOVE) -> DataFrame:
-    """``(entity, term, share, action)`` for terms whose disclosure reaches ``general``."""
-    around = mentions.select("entity", F.xxhash64("near").alias("seen"), "near")
-    per_entity = around.select("entity", "seen").distinct().groupBy("entity").agg(F.count("*").alias("surroundings")).where(F.col("surroundings") >= support)
-    pairs = around.select("entity", "seen", F.explode(_terms(F.col("near"))).alias("term")).distinct()
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= support)
-    pairs = stored(pairs.join(per_entity.hint("merge"), "entity"), "pairs")
-    entities = mentions.select("_doc", "_mark", "entity").distinct().groupBy("entity").agg(F.count("*").alias("docs"))
-    n = F.lit(float(max(1, rows.count())))
-    information = -F.log(F.col("docs") / n)
-    reveals = lambda df: F.log((F.col("together") / F.col("surroundings")) / (F.col(df) / n))
-    # A term is in as many documents as hold it near a mention, or more. Where that alone makes it reveal too little,
-    # the whole corpus need not be asked: nothing that could be flagged is lost, and common words go.
-    nearby = mentions.select("_doc", "_mark", F.explode(_terms(F.col("near"))).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("least"))
-    pairs = pairs.join(entities.hint("merge"), "entity").join(nearby.hint("merge"), "term").where((F.col("docs") < n) & (reveals("least") / information >= general))
-    pairs = stored(pairs.select("entity", "term", "together", "surroundings", "docs"), "candidates")
-    # Counted before the join, not after: tasks send a count a word, and no occurrence is joined.
-    words = rows.select(F.explode(_terms(F.col("_t"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    scored = pairs.join(words.hint("merge"), "term").withColumn("share", reveals("df") / information).where(F.col("share") >= general)
-    return scored.select("entity", "term", "share", F.when(F.col("share") >= remove, "cut").otherwise("term").alias("action"))
+def _entities() -> Column:
+    """The entities that a row mentions, once each."""
+    return F.array_distinct(F.concat(*[F.transform(f"_{k}", lambda s, k=k: F.concat(F.lit(f"{k}:"), s["value"])) for k in KINDS]))
 
 
-def _term_spans(rows: DataFrame, mentions: DataFrame, flagged: DataFrame) -> DataFrame:
-    """``(_doc, _mark, _term)``: spans of flagged terms, whole words, in the rows that mention their entity."""
-    told = mentions.select("_doc", "_mark", "entity").distinct().join(flagged.select("entity", "term", "action").hint("merge"), "entity")
-    # Bounded by the terms near the document's own mentions.
-    told = told.groupBy("_doc", "_mark", "term").agg(F.min("action").alias("action")).groupBy("_doc", "_mark").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("_map"))
-    same = [F.col("x._doc").eqNullSafe(F.col("y._doc")), F.col("x._mark") == F.col("y._mark")]
-    # Copies of a row go after the join, when few rows are left: the texts are shuffled once.
-    got = rows.alias("x").join(told.alias("y").hint("merge"), same).select("x._doc", "x._mark", "x._t", "y._map").dropDuplicates(["_doc", "_mark"])
-    got = barrier(got, _all=spans_of(F.col("_t"), r"(?<!\p{L})\p{L}{4,}+"))
-    return got.select("_doc", "_mark", F.filter(F.transform("_all", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.try_element_at(F.col("_map"), F.lower(s["value"])).alias("kind"))), lambda s: s["kind"].isNotNull()).alias("_term"))
+def flagged_terms(mentions: DataFrame, rows: DataFrame, *, smooth: float = SMOOTH, general: float = GENERAL, remove: float = REMOVE) -> DataFrame:
+    """``(_row, entity, term, share, action)`` for each row's terms whose disclosure reaches ``general``.
+
+    ``mentions``: ``(_row, _entities, _t)`` of the rows that mention any, ``_row`` unique; ``rows``: all, as ``_t``.
+    """
+    each = mentions.select("_row", F.explode("_entities").alias("entity"))
+    n = float(max(1, rows.count()))
+    entities = stored(each.groupBy("entity").agg(F.count("*").alias("docs")).where(F.col("docs") < n), "entities")
+    most = entities.agg(F.max("docs")).first()[0] or 1
+    # Even if all its documents mention the commonest entity, a term of more documents reveals too little: nothing that
+    # could be flagged is lost, and common words go. Half a document more, for rounding.
+    bound = F.lit(n * (most / n) ** general + 0.5)
+    # Counted before the join, not after: tasks send a count a word, and no occurrence is joined.
+    words = rows.select(F.explode(_terms(F.col("_t"))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") <= bound)
+    rare = mentions.select("_row", F.explode(_terms(F.col("_t"))).alias("term")).join(words.hint("merge"), "term")
+    pairs = stored(rare.join(each.hint("merge"), "_row"), "pairs")
+    counted = pairs.groupBy("entity", "term", "df").agg(F.count("*").alias("together"))
+    p = F.col("docs") / n
+    given = (F.col("together") + smooth * p) / (F.col("df") + smooth)
+    scored = counted.join(entities.hint("merge"), "entity").withColumn("share", F.log(given / p) / -F.log(p)).where(F.col("share") >= general)
+    action = F.when(F.col("share") >= remove, "cut").otherwise("term").alias("action")
+    return pairs.select("_row", "entity", "term").join(scored.select("entity", "term", "share", action).hint("merge"), ["entity", "term"])
+
+
+def _term_spans(mentions: DataFrame, flagged: DataFrame) -> DataFrame:
+    """``(_doc, _mark, _term)``: spans of flagged terms, whole words, in the rows that mention their entity; in addresses none."""
+    told = flagged.groupBy("_row", "term").agg(F.min("action").alias("kind"))
+    # A row for each word and a running sum, since arrays that grow by a word and lookups in a map are quadratic.
+    found, between = F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)), F.split("_t", WORD, -1)
+    every = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.struct(F.lower(m).alias("term"), F.length(b).cast("bigint").alias("gap"), F.length(m).cast("bigint").alias("n")))
+    words = mentions.select("_row", F.posexplode(every).alias("i", "w")).select("_row", "i", "w.*")
+    at = F.sum(F.col("gap") + F.col("n")).over(Window.partitionBy("_row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    words = words.select("_row", "term", "n", at.alias("end")).join(told.hint("merge"), ["_row", "term"])
+    spans = words.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct((F.col("end") - F.col("n")).alias("start"), "end", "kind"))).alias("_all"))
+    apart = F.filter("_all", lambda s: ~F.exists("_email", lambda e: (s["start"] < e["end"]) & (e["start"] < s["end"])))
+    got = mentions.select("_row", "_doc", "_mark", "_email").join(spans.hint("merge"), "_row").dropDuplicates(["_doc", "_mark"])
+    return got.select("_doc", "_mark", apart.alias("_term"))
 
 
 def _prepared(df: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -178,14 +172,16 @@ def find(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **thresho
     """
     rows = _prepared(df, doc_id, text)
     cols = [f"_{k}" for k in KINDS]
-    with_spans = with_base(rows, F.col("_t"))
-    narrow = stored(with_spans.select("_doc", "_mark", *cols), "spans")
-    mentions = stored(_mentions(with_spans), "mentions")
+    held = barrier(with_base(rows, F.col("_t")), _entities=_entities())
+    # One pass for spans and mentions: texts without mentions are not kept.
+    held = held.select("_doc", "_mark", *cols, "_entities", F.when(F.size("_entities") > 0, F.col("_t")).alias("_t"), F.monotonically_increasing_id().alias("_row"))
+    held = stored(held, "spans")
+    narrow, mentions = held.select("_doc", "_mark", *cols), held.where("_t is not null")
     flagged = stored(flagged_terms(mentions, rows, **thresholds), "flagged")
     empty = F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")
     if not flagged.limit(1).count():
         return narrow.withColumn("_term", empty)
-    terms = stored(_term_spans(rows, mentions, flagged), "terms")
+    terms = stored(_term_spans(mentions, flagged), "terms")
     same = [F.col("x._doc").eqNullSafe(F.col("y._doc")), F.col("x._mark") == F.col("y._mark")]
     return narrow.alias("x").join(terms.alias("y").hint("merge"), same, "left").select(*[f"x.{c}" for c in ("_doc", "_mark", *cols)], F.coalesce("y._term", empty).alias("_term"))
 

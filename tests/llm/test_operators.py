@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on odd rows and on empty tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -284,6 +285,38 @@ def test_giveaway_terms(spark):
     assert clean[300] == rows[-1][1] and all("bob@" not in clean[i] and "Zanzibar" not in clean[i] and "<EMAIL>" in clean[i] for i in range(6))
 
 
+def disclosure_brute(rows, smooth=1.0, general=0.6, remove=0.85):
+    """What becomes of which words of which row."""
+    held = []
+    for _, text in rows:
+        entities = {f"{k}:{m.group()}" for k in pii.KINDS for m in re.finditer(PLAIN[k], text or "") if valid(k, m.group())}
+        held.append((entities, set(re.findall(r"[^\W\d_]+", re.sub(PLAIN["email"], " ", text or "").lower()))))
+    n, docs, df = len(rows), Counter(e for es, _ in held for e in es), Counter(t for _, ts in held for t in ts)
+    both, out = Counter((e, t) for es, ts in held for e in es for t in ts), []
+    for es, ts in held:
+        share = lambda e, t: 1 - math.log((both[e, t] + smooth * docs[e] / n) / (df[t] + smooth)) / math.log(docs[e] / n)
+        most = {t: max((share(e, t) for e in es if docs[e] < n), default=0) for t in ts}
+        out.append({t: "cut" if x >= remove else "term" for t, x in most.items() if x >= general})
+    return out
+
+
+def test_giveaways_of_rare_entities(spark, small):
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choice(["in", "the", "a", "house", "of", "many", "rooms", "and", "doors"]) for _ in range(n))
+    once, twice = f"ann@example.com {say(90)} Li, {say(5)} 李明。", "call +1 555 010 9999: {} Quux"
+    rows = [(0, once), (1, twice.format(say(40))), (2, twice.format(say(60)))] + [(i, say(60)) for i in range(3, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r._doc: [(rows[r._doc][1][s.start : s.end], s.kind) for s in r._term] for r in pii.find(df).collect()}
+    assert found[0] == [("Li", "cut"), ("李明", "cut")]  # far away, short, mentioned once
+    assert found[1] == found[2] == [("call", "cut"), ("Quux", "cut")] and not any(found[i] for i in range(3, 400))
+    for given in (df, documents(spark, small)):
+        rows = texts(given)
+        want = Counter((key, tuple(sorted((t, a) for t, a in told.items()))) for (key, _), told in zip(rows, disclosure_brute(rows), strict=True))
+        text = dict(rows)
+        got = Counter((r._doc, tuple(sorted({(text[r._doc][s.start : s.end].lower(), s.kind) for s in r._term}))) for r in pii.find(given).collect())
+        assert got == want
+
+
 def test_query_digests(spark, small):
     got = {r.doc_id: r for r in queries.op10_pii(spark, small).collect()}
     for key, text in texts(documents(spark, small)):
