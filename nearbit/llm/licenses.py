@@ -77,7 +77,7 @@ class Scanner:
     def scan(self, text: str | None) -> list[tuple[str, int, int, float]]:
         """(template, first word, end word, containment) of each passage, in order."""
         h = S.word_hashes(words(text), self.memory)
-        found = set()
+        found, near = [], {}
         for k in sorted({k for k, _ in self.groups}):
             if len(h) < k:
                 continue
@@ -94,10 +94,13 @@ class Scanner:
                     for w in np.flatnonzero(self.values[k, 2 * width][window].any(axis=1)).tolist():
                         for name, own, sig in self.groups[k, 2 * width]:
                             if (sig == window[w]).any():
-                                self._verify(name, own, s, max(0, (w - 1) * width), (w + 3) * width, k, found)
+                                near.setdefault(name, (own, []))[1].append((max(0, (w - 1) * width), (w + 3) * width))
                 if len(low) % 2:
                     low = np.concatenate([low, low[-1:]])
                 low, width = np.minimum(low[::2], low[1::2]), 2 * width
+            for name, (own, ranges) in near.items():
+                found += self._verify(name, own, s, ranges, k)
+            near.clear()
         kept: list[tuple[str, int, int, float]] = []
         # Of passages that overlap, the one that holds most of its template stays: a version does not count as its sister.
         for n, *m in sorted(found, key=lambda m: (-m[0], -m[4], m[1], m[2])):
@@ -105,20 +108,33 @@ class Scanner:
                 kept.append(tuple(m))
         return sorted(kept, key=lambda m: (m[1], m[0]))
 
-    def _verify(self, name: str, own: np.ndarray, s: np.ndarray, lo: int, hi: int, k: int, found: set) -> None:
-        """Adds the densest passage of the window if it holds enough of the template."""
-        at = lo + np.flatnonzero(np.isin(s[lo:hi], own))
-        if not len(at):
-            return
+    def _verify(self, name: str, own: np.ndarray, s: np.ndarray, ranges: list[tuple[int, int]], k: int) -> list[tuple[int, str, int, int, float]]:
+        """As many passages as hold enough of the template without overlap; of equally many, the fullest, then the shortest."""
+        inside = np.zeros(len(s), bool)
+        for lo, hi in ranges:
+            inside[lo:hi] = True
+        at = np.flatnonzero(inside)
+        at = at[np.isin(s[at], own)]
         span = 2 * len(own) + k  # room for words put in
-        best: tuple[int, int, int] = (0, 0, 0)
-        for i, a in enumerate(at.tolist()):
-            inside = at[i:][at[i:] < a + span]
-            n = len(np.unique(s[inside]))
-            if n > best[0]:
-                best = (n, a, int(inside[-1]) + k)
-        if 100 * best[0] >= self.percent * len(own):
-            found.add((best[0], name, best[1], best[2], best[0] / len(own)))
+        need = max(1, -(-self.percent * len(own) // 100))
+        # From the last hit on: how many passages, what they hold, less their lengths; and the first of them.
+        best: list[tuple[int, int, int]] = [(0, 0, 0)] * (len(at) + 1)
+        first: list[tuple[int, int, int, int] | None] = [None] * (len(at) + 1)
+        for i in range(len(at) - 1, -1, -1):
+            best[i], first[i] = best[i + 1], first[i + 1]
+            a = int(at[i])
+            reach = at[i : int(np.searchsorted(at, a + span))]
+            new = np.sort(np.unique(s[reach], return_index=True)[1])
+            ends = reach[new[need - 1 :]] + k
+            for n, end, j in zip(range(need, len(new) + 1), ends.tolist(), np.searchsorted(at, ends).tolist(), strict=True):
+                total = (best[j][0] + 1, best[j][1] + n, best[j][2] - (end - a))
+                if total >= best[i]:
+                    best[i], first[i] = total, (n, a, end, j)
+        out, m = [], first[0]
+        while m:
+            out.append((m[0], name, m[1], m[2], m[0] / len(own)))
+            m = first[m[3]]
+        return out
 
 
 def license_scan(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, n: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -388,3 +388,17 @@ def test_licenses(spark, odd, none):
         assert got[key].licenses == name, (key, name, got[key])
     assert licenses.license_scan(odd).where("n_matches > 0").count() == 0
     assert licenses.license_scan(none).count() == 0
+
+
+def test_each_copy_of_a_licence_counts():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        n = len(licenses.words(text))
+        for gap in (0, 2):
+            step = n + gap
+            got = scanner.scan("before it " + "so on ".join([text + " "] * 5) if gap else "before it " + (text + " ") * 5)
+            assert [m[:3] for m in got] == [(name, 2 + i * step, 2 + i * step + n) for i in range(5)], (name, gap, got)
+    w = licenses.TEMPLATES["gpl-3.0-header"].split()
+    changed = [" ".join([*w[:at], "changed", *w[at + 1 :]]) for at in (3, len(w) - 4)]
+    got = scanner.scan(" ".join(changed))  # neither is whole, both together hold everything
+    assert [(m[0], m[3] < 1) for m in got] == [("gpl-3.0-header", True)] * 2
