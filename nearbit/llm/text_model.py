@@ -1,8 +1,8 @@
-"""Hashed features of words and texts for the trained models, in numpy.
+"""Hashed features of texts for the trained models, in numpy.
 
-A word's features are itself and its beginnings. What a linear model
-gives a word is computed once and remembered by the worker, so a text costs one
-lookup a word.
+A word's features are itself and its beginnings, so that inflected forms of a
+stem share some. What a text has of a feature is the number of its distinct
+words with it. A worker computes a word's features once and remembers them.
 """
 
 from __future__ import annotations
@@ -24,34 +24,29 @@ def words(text: str | None) -> list[str]:
 
 
 def word_features(word: str, dims: int = DIMS) -> list[int]:
-    """The word, and its first 4, 5 and 6 letters: inflected forms of a stem share them."""
+    """The word, and its first 4, 5 and 6 letters."""
     marked = f"<{word}"
     digest = xxhash.xxh3_64_intdigest
     return [digest(g) & (dims - 1) for g in {f"{marked}>", marked[:5], marked[:6], marked[:7]}]
 
 
-def text_features(text: str | None, dims: int = DIMS) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and values: features of the distinct words, over the root of their number."""
-    distinct = set(words(text))
-    if not distinct:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    index, count = np.unique(np.concatenate([word_features(w, dims) for w in distinct]).astype(np.int64), return_counts=True)
-    return index.astype(np.int32), (count / np.sqrt(len(distinct))).astype(np.float32)
+class WordFeatures(dict):
+    """word -> its features, by their new number if ``places`` has one for each feature that counts (-1: it doesn't)."""
 
-
-class WordScores(dict):
-    """word -> what the weights give it."""
-
-    def __init__(self, weights: np.ndarray) -> None:
+    def __init__(self, places: np.ndarray | None = None) -> None:
         super().__init__()
-        self.weights = weights
+        self.places = places
 
-    def __missing__(self, word: str) -> float:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= CACHE:
             self.clear()
-        self[word] = s = float(self.weights[word_features(word, len(self.weights))].sum())
-        return s
-
-    def total(self, text: str | None) -> float:
-        distinct = set(words(text))
-        return sum(map(self.__getitem__, distinct)) / len(distinct) ** 0.5 if distinct else 0.0
+        found = word_features(word)
+        if self.places is not None:
+            found = [p for p in self.places[found].tolist() if p >= 0]
+        self[word] = found = tuple(found)
+        return found
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The text's features and how many of its distinct words have each."""
+        found = [f for w in set(words(text)) for f in self[w]]
+        return np.unique(np.array(found, np.int64), return_counts=True)
