@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,9 +16,11 @@ SLICE = 256
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir; a local one only if that is unset, as in tests."""
+    """A folder that driver and executors share: spark.checkpoint.dir; a local one only if that is unset and all runs in one process, as in tests."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = f"file://{tempfile.mkdtemp(prefix='nearbit-')}"
         spark.conf.set("spark.checkpoint.dir", top)
     return top
@@ -33,6 +36,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a table of ids, hashes or short strings may be broadcast: some 30 MB.
+BROADCAST_ROWS = 100_000
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """For a join: broadcast if a count allows it, else sort-merge, in which Spark splits hot keys."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id's text, modulo 4; fold 2 is held out. A null id counts as held out."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)).cast("int"), F.lit(2))
