@@ -16,23 +16,24 @@ bounded size, drops other grams before anything is exploded; the join on the
 hash decides. Nothing but hits and their few words of context is shuffled.
 
 Null texts have no words. Null item ids are left out of items; rows of the same
-item id count as one item with all their windows.
+item id count as one item with all their windows. Hits are kept by id and text,
+nulls alike, so rows that share an id are told apart and rows without one are
+judged too; repeated rows get the same answer each. Empty tables give no hits.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nearbit.llm.common import barrier, next_to
+from nearbit.llm.common import barrier, next_to, small_side, stored
 from nearbit.llm.quality import pairs
 
 WINDOW, GRAM = 10, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of 64 bits in the bitmap, a power of two: 2^22 bits, 512 KB.
 BITMAP = 1 << 16
-#: Item windows up to which their table may be broadcast.
-BROADCAST_ROWS = 100_000
 
 
 def words_of(text: Column) -> Column:
@@ -97,7 +98,7 @@ def _bitmap(hashes: DataFrame) -> Column:
 
 
 def _spot(documents: DataFrame, windows: DataFrame, window: int, k: int) -> DataFrame:
-    """``(doc, at, n, items)`` for each place where one of the windows of ``window`` words occurs.
+    """``(doc, mark, at, span, items)`` for each place where one of the windows of ``window`` words occurs.
 
     ``windows``: ``(words, items)``, distinct by words. The place is the index
     of the window's first word.
@@ -115,25 +116,31 @@ def _spot(documents: DataFrame, windows: DataFrame, window: int, k: int) -> Data
     doc = doc.withColumn("_g", F.explode(near))
     start = F.greatest(F.col("_g.i") - (window - k), F.lit(0))
     context = F.slice("_words", start + 1, F.lit(2 * window - k))
-    hits = doc.select("doc", n.alias("n"), F.col("_g.h").alias("h"), start.alias("start"), context.alias("context"))
-    hits = hits.join(_small(prints), "h", "left_semi")
+    hits = doc.select("doc", "mark", F.col("_g.h").alias("h"), start.alias("start"), context.alias("context"))
+    hits = hits.join(small_side(prints), "h", "left_semi")
     spots = F.transform(F.sequence(F.lit(0), F.size("context") - window), lambda o: F.struct((F.col("start") + o).alias("at"), F.slice(F.col("context"), o + 1, window).alias("words")))
-    spots = hits.where(F.size("context") >= window).select("doc", "n", F.explode(spots).alias("s")).select("doc", "n", "s.at", "s.words")
-    return spots.join(_small(windows), "words").select("doc", "at", F.lit(window).alias("span"), "items")
+    spots = hits.where(F.size("context") >= window).select("doc", "mark", F.explode(spots).alias("s")).select("doc", "mark", "s.at", "s.words")
+    return spots.join(small_side(windows), "words").select("doc", "mark", "at", F.lit(window).alias("span"), "items")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast if the size allows it, else a sort-merge join, which splits hot keys."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.hint("merge")
+def marked(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``(doc, mark, _words)``: the id, a hash of the text that tells rows of one id apart, and the words."""
+    rows = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("_text")).withColumn("mark", mark_of(F.col("_text")))
+    return barrier(rows, _words=words_of(F.col("_text"))).drop("_text")
 
 
-def hits(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = GRAM) -> DataFrame:
-    """``(doc, at, span, items)``: every occurrence of an item window in a document, by the row's ``doc``.
+def mark_of(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
-    ``doc`` is the document id; rows that share an id share their hits.
-    """
-    docs = barrier(documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("_text")), _words=words_of(F.col("_text"))).drop("_text")
-    return _hits_of(docs, benchmark, item_id, item_text, window, k)
+
+def same_row(x: str, y: str, doc_id: str = "doc") -> list[Column]:
+    """The condition that rows of two frames, named ``x`` and ``y``, have the same id, null or not, and text."""
+    return [F.col(f"{x}.{doc_id}").eqNullSafe(F.col(f"{y}.doc")), F.col(f"{x}.mark") == F.col(f"{y}.mark")]
+
+
+def hits(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = GRAM) -> DataFrame:
+    """``(doc, mark, at, span, items)``: every occurrence of an item window in the document of that id and text."""
+    return _hits_of(marked(documents, doc_id, text), benchmark, item_id, item_text, window, k)
 
 
 def _hits_of(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, window: int, k: int) -> DataFrame:
@@ -147,32 +154,28 @@ def _hits_of(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str
         got = _spot(docs, own, row["n"], min(k, row["n"]))
         found = got if found is None else found.union(got)
     if found is None:
-        return docs.select("doc", F.lit(0).alias("at"), F.lit(0).alias("span"), F.array().cast("array<string>").alias("items")).where("false")
+        return docs.select("doc", "mark", F.lit(0).alias("at"), F.lit(0).alias("span"), F.array().cast("array<string>").alias("items")).where("false")
     return found
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = GRAM) -> DataFrame:
     """Every document with ``(doc_id, n_words, n_hit, n_items, items, spans, contaminated)``.
 
-    ``spans``: the hit word ranges, merged, as structs (start, end). The hits
-    of a row are keyed by its id, which is taken to be unique; null ids match nothing.
+    ``spans``: the hit word ranges, merged, as structs (start, end).
     """
-    docs = barrier(documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("_text")), _words=words_of(F.col("_text"))).drop("_text")
-    found = _hits_of(docs, benchmark, item_id, item_text, window, k)
-    # What a document gathers here is bounded by its own words and the windows' items.
-    by_doc = found.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("at", "span"))).alias("places"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    merged = F.aggregate(
-        F.col("places"),
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda acc, p: F.when(
-            (F.size(acc) > 0) & (p["at"] <= F.element_at(acc, F.lit(-1))["end"]),
-            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.element_at(acc, F.lit(-1))["end"], p["at"] + p["span"]).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(p["at"].alias("start"), (p["at"] + p["span"]).alias("end"))))),
-    )
-    by_doc = barrier(by_doc, spans=merged).drop("places")
-    counted = docs.select("doc", F.size("_words").cast("bigint").alias("n_words"))
-    out = counted.join(by_doc.hint("merge"), "doc", "left")
-    n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, s: acc + s["end"] - s["start"]), F.lit(0).cast("bigint"))
-    empty = F.array().cast("array<string>")
-    out = out.select(F.col("doc").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.coalesce("items", empty).alias("items"), F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", "spans", (F.col("n_hit") > 0).alias("contaminated"))
+    docs = marked(documents, doc_id, text)
+    found = stored(_hits_of(docs, benchmark, item_id, item_text, window, k), "hits")  # read twice; hits only
+    by_doc = found.groupBy("doc", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    # Places in order, each with the furthest end so far: where the next begins behind it, a range ends.
+    near = W.partitionBy("doc", "mark").orderBy("at", "end")
+    places = found.select("doc", "mark", "at", (F.col("at") + F.col("span")).alias("end")).distinct()
+    places = places.withColumn("far", F.max("end").over(near.rowsBetween(W.unboundedPreceding, -1)))
+    places = places.withColumn("range", F.sum(F.when(F.col("at") <= F.col("far"), 0).otherwise(1)).over(near.rowsBetween(W.unboundedPreceding, 0)))
+    ranges = places.groupBy("doc", "mark", "range").agg(F.min("at").alias("start"), F.max("end").alias("end"))
+    spans = ranges.groupBy("doc", "mark").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"), F.sum(F.col("end") - F.col("start")).alias("n_hit"))
+    by_doc = by_doc.alias("x").join(spans.alias("y").hint("merge"), same_row("x", "y")).select("x.*", "spans", "n_hit")
+    counted = docs.select("doc", "mark", F.size("_words").cast("bigint").alias("n_words"))
+    out = counted.alias("x").join(by_doc.alias("y").hint("merge"), same_row("x", "y"), "left")
+    items, n_hit = F.coalesce("items", F.array().cast("array<string>")), F.coalesce("n_hit", F.lit(0)).cast("bigint")
+    out = out.select(F.col("x.doc").alias("doc_id"), "x.mark", "n_words", n_hit.alias("n_hit"), items.alias("items"), F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", "spans", (F.col("n_hit") > 0).alias("contaminated"), F.col("mark").alias("text_hash"))

@@ -233,7 +233,11 @@ def test_decontamination(spark, small, odd, none):
     whole = documents(spark, small)
     real = table(spark, small, "benchmark")
     assert run(whole, real) == hits_brute(texts(whole), [(r.item_id, r.text) for r in real.collect()])
-    assert decontam.decontaminate(odd, bench).count() == odd.count()
+    shared = [(1, f"x {items[1][1]}"), (1, "only two"), (None, items[0][1]), (None, "clean words"), (None, None), (2, f"{items[2][1]} {items[2][1]}"), (2, items[2][1]), (2, items[2][1])]
+    assert run(spark.createDataFrame(shared, "doc_id long, text string"), bench) == hits_brute(shared, items)
+    last = spark.createDataFrame([(1, texts(odd)[0][1]), (2, "no id here but some")], "item_id long, text string")
+    assert run(odd, last) == hits_brute(texts(odd), [(r.item_id, r.text) for r in last.collect()])
+    assert decontam.decontaminate(odd, last).where("contaminated").count() == 3
     assert decontam.decontaminate(none, bench).count() == 0
     assert decontam.decontaminate(odd, bench.where("false")).where("contaminated or n_hit > 0").count() == 0
 
