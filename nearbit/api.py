@@ -9,7 +9,7 @@ from nearbit.operators.compare import compare as compare_pairs
 from nearbit.operators.strategies import STRATEGIES, Spec
 from nearbit.plans import planner
 
-__all__ = ["compare_pairs", "explain_cost", "hamming_self_join", "points_of"]
+__all__ = ["bits_of", "compare_pairs", "explain_cost", "hamming_self_join", "points_of"]
 
 
 def points_of(df: DataFrame, value: Column | str, *, bits: int, id: Column | str | None = None) -> DataFrame:
@@ -22,18 +22,26 @@ def points_of(df: DataFrame, value: Column | str, *, bits: int, id: Column | str
     return raw.select(checked.alias("v"), *(["id"] if ids else []))
 
 
-def hamming_self_join(df: DataFrame, value: Column | str, *, d: int, bits: int = 32, id: Column | str | None = None, mode: str = "set", strategy: str = "auto", **options) -> DataFrame:
+def bits_of(df: DataFrame, value: Column | str) -> int:
+    """Bits that the largest value needs, 1 at least. Values that are small for their universe make chunks that all share."""
+    col = F.expr(value) if isinstance(value, str) else value
+    return max(1, int(df.agg(F.max(col.cast("bigint"))).first()[0] or 0).bit_length())
+
+
+def hamming_self_join(df: DataFrame, value: Column | str, *, d: int, bits: int | None = 32, id: Column | str | None = None, mode: str = "set", strategy: str = "auto", **options) -> DataFrame:
     """All pairs of strings within Hamming distance ``d``, each once.
 
     mode "set": distinct values, ``(l, r, dist)`` with ``l < r``. mode "bag":
     rows told apart by ``id``, ``(l, r, lid, rid, dist)``, equal values included.
     strategy: a name of STRATEGIES, or "auto" (counts the points once to choose).
-    Further options go to Spec: grid, seed, anchors, join_hint.
+    bits: the universe; None: as many as the largest value needs (one aggregate).
+    Further options go to Spec: grid, seed, anchors, complement, reducers, join_hint.
     """
     if mode not in ("set", "bag"):
         raise ValueError("mode is 'set' or 'bag'")
     if mode == "bag" and id is None:
         raise ValueError("bag mode needs an id")
+    bits = bits_of(df, value) if bits is None else bits
     spec = Spec(d=d, bits=bits, bag=mode == "bag", **options)
     points = points_of(df, value, bits=bits, id=id if spec.bag else None)
     points = points if spec.bag else points.distinct()

@@ -5,22 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 from math import comb
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearbit import api
 from nearbit.functions import bits as B
+from nearbit.operators import anchors
 from nearbit.operators import strategies as S
 from nearbit.operators.compare import compare
-from nearbit.sources import generators, writers
+from nearbit.sources import generators, readers, scratch, writers
 from nearbit.sources.readers import parquet_points
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# name -> (table, bits, Spark expression, DuckDB expression)
+# name -> (table, bits or None for those of the largest value, Spark expression, DuckDB expression)
 POINTS = {
-    "dense": ("part", 24, "p_partkey", "p_partkey"),
-    "cust": ("customer", 24, "c_custkey", "c_custkey"),
+    "dense": ("part", None, "p_partkey", "p_partkey"),
+    "cust": ("customer", None, "c_custkey", "c_custkey"),
     "mixed": ("part", 16, "(p_partkey * 40503 + p_partkey * p_partkey * 31) % 65536", "(p_partkey * 40503 + p_partkey * p_partkey * 31) % 65536"),
     "emb16": ("embeddings", 16, "aggregate(sequence(0, 15), 0L, (acc, i) -> acc | if(embedding[i] > 0, shiftleft(1L, i), 0L))", "list_sum([CASE WHEN embedding[i + 1] > 0 THEN 1::BIGINT << i ELSE 0 END FOR i IN range(16)])::BIGINT"),
     "emb32": ("embeddings", 32, "aggregate(sequence(0, 31), 0L, (acc, i) -> acc | if(embedding[i] > 0, shiftleft(1L, i), 0L))", "list_sum([CASE WHEN embedding[i + 1] > 0 THEN 1::BIGINT << i ELSE 0 END FOR i IN range(32)])::BIGINT"),
@@ -63,19 +64,32 @@ _join("join_split_dense", "dense", 1, "split")
 _join("join_ball_half_emb32_d6", "emb32", 6, "ball_half")
 _join("join_grid_emb32_d6", "emb32", 6, "grid", grid=5)
 _join("join_anchor_few", "mixed", 2, "anchor", seed=3)
+_join("join_anchor_dense", "dense", 2, "anchor")
+_join("join_anchor_emb32_d2", "emb32", 2, "anchor")
+_join("join_anchor_scan_d4", "mixed", 4, "anchor")
+_join("join_ball_half_cust_d3", "cust", 3, "ball_half")
+_join("join_split_reducers", "mixed", 2, "split", reducers=5)
+_join("join_split_d0", "mixed", 0, "split")
 
 
-def _bag(strategy: str) -> Query:
+def _bag(strategy: str, d: int = 2, name: str = "emb16") -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        table, bits, expr, _ = POINTS["emb16"]
-        return api.hamming_self_join(spark.read.parquet(f"{sf_dir}/{table}.parquet"), expr, d=2, bits=bits, id="vec_id", mode="bag", strategy=strategy)
+        table, bits, expr, _ = POINTS[name]
+        return api.hamming_self_join(spark.read.parquet(f"{sf_dir}/{table}.parquet"), expr, d=d, bits=bits, id="vec_id", mode="bag", strategy=strategy)
 
     return query
 
 
-_bag_sql = f"WITH p AS (SELECT vec_id, CAST({POINTS['emb16'][3]} AS BIGINT) AS v FROM embeddings) SELECT a.v AS l, b.v AS r, a.vec_id AS lid, b.vec_id AS rid, CAST(bit_count(xor(a.v, b.v)) AS INTEGER) AS dist FROM p a JOIN p b ON (a.v < b.v OR (a.v = b.v AND a.vec_id < b.vec_id)) AND bit_count(xor(a.v, b.v)) <= 2"
+def _sql_bag(d: int = 2, name: str = "emb16") -> str:
+    return f"WITH p AS (SELECT vec_id, CAST({POINTS[name][3]} AS BIGINT) AS v FROM embeddings) SELECT a.v AS l, b.v AS r, a.vec_id AS lid, b.vec_id AS rid, CAST(bit_count(xor(a.v, b.v)) AS INTEGER) AS dist FROM p a JOIN p b ON (a.v < b.v OR (a.v = b.v AND a.vec_id < b.vec_id)) AND bit_count(xor(a.v, b.v)) <= {d}"
+
+
 for _s in S.STRATEGIES:
-    _add(f"join_bag_{_s}", _bag(_s), _bag_sql)
+    _add(f"join_bag_{_s}", _bag(_s), _sql_bag())
+for _s in ("split", "ball_half", "anchor"):
+    _add(f"join_bag_{_s}_d0", _bag(_s, 0), _sql_bag(0))
+    _add(f"join_bag_{_s}_d3", _bag(_s, 3), _sql_bag(3))
+_add("join_bag_anchor_emb32", _bag("anchor", 2, "emb32"), _sql_bag(2, "emb32"))
 
 
 def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +134,42 @@ _add("cost_anchor", _cost_anchor, f"WITH {_sql_anchors}, a AS (SELECT c FROM c U
 _add("anchor_home", lambda spark, d: S.anchor_home(points(spark, d, "mixed"), _fixed_anchors(spark, d)), f"WITH {_sql_anchors} SELECT v, c AS home, CAST(dist AS INTEGER) AS dist FROM (SELECT v, c, bit_count(xor(v, c)) AS dist, row_number() OVER (PARTITION BY v ORDER BY bit_count(xor(v, c)), c) AS k FROM p, c) WHERE k = 1")
 
 
+def _members_of(complement: bool) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return anchors.AnchorSet(_fixed_anchors(spark, sf_dir), complement).keep(points(spark, sf_dir, "mixed"), "v")
+
+    return query
+
+
+_add("anchor_membership", _members_of(False), f"WITH {_sql_anchors} SELECT v FROM p WHERE v IN (SELECT c FROM c)")
+_add("anchor_membership_complement", _members_of(True), f"WITH {_sql_anchors} SELECT v FROM p WHERE v NOT IN (SELECT c FROM c)")
+
+
+def _join_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.hamming_self_join(points(spark, sf_dir, "mixed"), "v", d=1, bits=16, strategy="anchor", anchors=_fixed_anchors(spark, sf_dir), complement=True)
+
+
+_add("join_anchor_complement", _join_complement, _sql_pairs("mixed", 1))
+
+_SIZES = [(b, d) for b in (5, 10, 16, 20, 24) for d in (1, 2, 3, 4)]
+
+
+def _sizing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(b, d, anchors.target(b, d), B.ball_size(b, min(2 * d, b)), anchors.fills(anchors.target(b, d), b)) for b, d in _SIZES]
+    return spark.createDataFrame(rows, "bits int, d int, target long, ball long, complement boolean")
+
+
+_ball = "CAST((SELECT sum(factorial(CAST(b AS INTEGER)) / (factorial(CAST(i AS INTEGER)) * factorial(CAST(b - i AS INTEGER)))) FROM range(1, {r} + 1) t(i)) AS BIGINT)"
+_add(
+    "anchor_sizing",
+    _sizing,
+    f"WITH s AS (SELECT b, d, CAST(2 ** b AS BIGINT) AS u FROM (VALUES {', '.join(map(str, _SIZES))}) t(b, d)), "
+    f"x AS (SELECT b, d, u, {_ball.format(r='d')} AS one, {_ball.format(r='least(2 * d, b)')} AS ball FROM s), "
+    "y AS (SELECT *, CAST(least(u, ceil(ln(1000 * u) * u / one)) AS BIGINT) AS target FROM x) "
+    "SELECT CAST(b AS INTEGER) AS bits, CAST(d AS INTEGER) AS d, target, ball, target > u // 2 AS complement FROM y",
+)
+
+
 # Placement
 
 
@@ -139,6 +189,15 @@ _chunks = ", ".join(f"({j}, {m})" for j, m in enumerate(B.chunk_masks(16, 3)))
 _add("chunk_bucket_load", _chunk_load, f"WITH p AS ({_sql_points('mixed')}) SELECT CAST(j AS INTEGER) AS j, v & m AS k, count(*) AS n_rows FROM p, (VALUES {_chunks}) t(j, m) GROUP BY 1, 2")
 
 
+def _reducer_load(rows: Query, placed: Callable[[], Column]) -> Query:
+    return lambda spark, d: rows(spark, d).groupBy(placed().alias("reducer")).agg(F.count("*").alias("n_rows"))
+
+
+_add("placement_by_value", _reducer_load(lambda s, d: points(s, d, "emb32"), lambda: B.reducer_of_value("v", 7)), f"WITH p AS ({_sql_points('emb32')}) SELECT CAST(abs(CASE WHEN v >= 2147483648 THEN v - 4294967296 ELSE v END) % 7 AS INTEGER) AS reducer, count(*) AS n_rows FROM p GROUP BY 1")
+_add("placement_by_cell", _reducer_load(lambda s, d: S.grid_candidates(points(s, d, "mixed"), S.Spec(d=2, bits=16, grid=4)), lambda: F.pmod(S.grid_cell_id(), F.lit(7)).cast("int")), f"WITH p AS ({_sql_points('mixed')}), x AS (SELECT least(v % 4, j) AS lo, greatest(v % 4, j) AS hi FROM p, range(4) t(j)) SELECT CAST((hi * (hi + 1) // 2 + lo) % 7 AS INTEGER) AS reducer, count(*) AS n_rows FROM x GROUP BY 1")
+_add("placement_by_pair", _reducer_load(lambda s, d: _one(s, d), lambda: B.reducer_of_pair("l", "r", 7)), f"SELECT CAST((l % 7 + r % 7) % 7 AS INTEGER) AS reducer, count(*) AS n_rows FROM ({_sql_pairs('mixed', 1)}) GROUP BY 1")
+
+
 # Comparison
 
 
@@ -173,11 +232,52 @@ _add("compare_equal_count", lambda spark, d: _compare_equal(spark, d).agg(F.coun
 
 # Generators and representation
 
+
+def _sql_scatter(bits: int, seed: int, ids: str) -> str:
+    x, whole = "range", 1 << bits
+    steps = []
+    for k, m in enumerate(B.SCATTER):
+        steps.append(f"SELECT xor(y, y >> {(bits + 1) // 2}) AS x{k} FROM (SELECT (({x} + {(seed * (2 * k + 1) + k) % whole}) * {m}) % {whole} AS y FROM {ids})")
+        x, ids = f"x{k}", f"({steps[-1]})"
+    return f"SELECT {x} AS v FROM {ids}"
+
+
 _add("universe_full_b10", lambda spark, d: generators.universe_full(spark, 10), "SELECT range AS v FROM range(1024)")
-_add("universe_sample", lambda spark, d: generators.universe_sample(spark, 16, 8, seed=42), "SELECT (range * 1597334677 + 42) % 65536 AS v FROM range(8192)")
+_add("universe_sample", lambda spark, d: generators.universe_sample(spark, 16, 8, seed=42), f"{_sql_scatter(16, 42, 'range(8192)')}")
 _add("universe_pairs_b10", lambda spark, d: api.hamming_self_join(generators.universe_full(spark, 10), "v", d=2, bits=10, strategy="ball_half"), "SELECT a.range AS l, b.range AS r, CAST(bit_count(xor(a.range, b.range)) AS INTEGER) AS dist FROM range(1024) a, range(1024) b WHERE a.range < b.range AND bit_count(xor(a.range, b.range)) <= 2")
 
 
+def _sequence_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch.folder(spark)}/points"
+    writers.write_sequence(points(spark, sf_dir, "emb32"), path)
+    return readers.sequence_points(spark, path)
+
+
+def _text_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch.folder(spark)}/pairs"
+    writers.write_text(QUERIES["join_grid_emb32_d6"](spark, sf_dir), path)
+    return readers.text_pairs(spark, path)
+
+
+def _anchor_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch.folder(spark)}/anchors"
+    writers.write_sequence(_fixed_anchors(spark, sf_dir).select(F.col("c").alias("v")), path)
+    return api.hamming_self_join(points(spark, sf_dir, "mixed"), "v", d=2, bits=16, strategy="anchor", anchors=readers.anchor_table(spark, path))
+
+
+def _compare_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch.folder(spark)
+    writers.write_text(_one(spark, sf_dir), f"{path}/one")
+    writers.write_text(QUERIES["join_ball_half_d2"](spark, sf_dir), f"{path}/two")
+    return compare(readers.text_pairs(spark, f"{path}/one"), readers.text_pairs(spark, f"{path}/two"), reducers=6)
+
+
+_add("sequence_round_trip", _sequence_trip, _sql_points("emb32"))
+_add("text_round_trip", _text_trip, f"SELECT l, r FROM ({_sql_pairs('emb32', 6)})")
+_add("join_anchor_from_file", _anchor_file, _sql_pairs("mixed", 2))
+_add("compare_files", _compare_files, f"WITH one AS ({_d1}), two AS ({_d2}) {_sql_diff}")
+
+
 def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("v")
     return points(spark, sf_dir, "emb32").select("v", B.to_int32(v).alias("signed"), B.render(v).alias("text"), B.parse(B.render(v)).alias("parsed"), B.from_int32(B.to_int32(v)).alias("back"))

@@ -41,6 +41,19 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)).cast("int")
 
 
+#: Odd multipliers below 2^30, so that a product with a 32-bit value fits a signed 64-bit one.
+SCATTER = (747_796_405, 277_803_737, 668_265_263)
+
+
+def scatter(x: Column, bits: int, seed: int = 0) -> Column:
+    """A seeded permutation of the universe: adding, multiplying by odd numbers and folding the upper half onto the lower are all reversible."""
+    whole, half = F.lit(1 << bits), (bits + 1) // 2
+    for k, m in enumerate(SCATTER):
+        x = F.pmod((x + F.lit((seed * (2 * k + 1) + k) % (1 << bits))) * F.lit(m), whole)
+        x = x.bitwiseXOR(F.shiftright(x, half))
+    return x
+
+
 def ball_size(bits: int, radius: int) -> int:
     """Number of strings at distance 1..radius of a centre."""
     return sum(comb(bits, i) for i in range(1, min(radius, bits) + 1))
@@ -84,3 +97,22 @@ def clear_lowest(x: Column, k: Column, most: int) -> Column:
     for i in range(1, most + 1):
         out = out.when(k == i, steps[i])
     return out
+
+
+# Which of ``n`` reducers a key goes to.
+
+
+def reducer_of_value(value: str, n: int) -> Column:
+    """By the size of the signed 32-bit value."""
+    signed = F.when(F.col(value) >= TOP // 2, F.col(value) - TOP).otherwise(F.col(value))
+    return F.pmod(F.abs(signed), F.lit(n)).cast("int")
+
+
+def reducer_of_pair(left: str, right: str, n: int) -> Column:
+    """By the sum of what both leave."""
+    return F.pmod(F.pmod(F.abs(left), F.lit(n)) + F.pmod(F.abs(right), F.lit(n)), F.lit(n)).cast("int")
+
+
+def reducer_of_chunk(chunk: Column, number: Column, parts: int, n: int) -> Column:
+    """Chunks of one value in a row, the next value behind them."""
+    return F.pmod(chunk * parts + number, F.lit(n)).cast("int")

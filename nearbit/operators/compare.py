@@ -5,18 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearbit.functions import bits as B
 
-def compare(first: DataFrame, second: DataFrame) -> DataFrame:
+
+def compare(first: DataFrame, second: DataFrame, *, reducers: int | None = None) -> DataFrame:
     """Differences of two pair sets ``(l, r)``, orientation aside: ``(kind, l, r, n)``.
 
     Kinds: missing_in_second, missing_in_first, duplicate_in_first,
     duplicate_in_second; ``n`` counts the pair where it occurs. Empty result:
-    the outputs are equal and free of duplicates.
+    the outputs are equal and free of duplicates. ``reducers`` fixes the number
+    of partitions that the pairs are dealt to.
     """
     def tagged(df: DataFrame, src: int) -> DataFrame:
         return df.select(F.least("l", "r").alias("l"), F.greatest("l", "r").alias("r"), F.lit(src).alias("src"))
 
-    counts = tagged(first, 1).unionByName(tagged(second, 2)).groupBy("l", "r").agg(F.count_if(F.col("src") == 1).alias("a"), F.count_if(F.col("src") == 2).alias("b"))
+    both = tagged(first, 1).unionByName(tagged(second, 2))
+    if reducers:  # counted before they are dealt, as Spark would do by itself
+        part = both.groupBy("l", "r", "src").agg(F.count("*").alias("k"))
+        both = part.repartition(reducers, "l", "r")
+    else:
+        both = both.withColumn("k", F.lit(1))
+    of = lambda src: F.coalesce(F.sum(F.when(F.col("src") == src, F.col("k"))), F.lit(0)).cast("bigint")
+    counts = both.groupBy("l", "r").agg(of(1).alias("a"), of(2).alias("b"))
     a, b = F.col("a"), F.col("b")
 
     def found(kind: str, when, n):
@@ -29,3 +39,8 @@ def compare(first: DataFrame, second: DataFrame) -> DataFrame:
         found("duplicate_in_second", b > 1, b),
     )
     return counts.withColumn("x", F.explode(F.filter(said, lambda s: s.isNotNull()))).select("x.kind", "l", "r", "x.n")
+
+
+def described(found: DataFrame) -> DataFrame:
+    """The differences as text lines: kind and count, a tab, both strings in binary."""
+    return found.select(F.concat(F.col("kind"), F.lit(" ("), F.col("n").cast("string"), F.lit(")\t"), B.render(F.col("l")), F.lit("/"), B.render(F.col("r"))).alias("value"))

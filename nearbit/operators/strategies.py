@@ -15,17 +15,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from math import ceil, log
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearbit.functions import bits as B
-
-#: Largest mask list that is inlined as an array literal; longer ones become a table.
-INLINE_MASKS = 600
-#: Most masks a ball strategy accepts before it refuses.
-MASK_LIMIT = 2_000_000
+from nearbit.operators import anchors as A
+from nearbit.operators.anchors import AnchorSet, with_masks
 
 
 @dataclass(frozen=True)
@@ -33,8 +30,10 @@ class Spec:
     """What to join: distance ``d`` over strings of ``bits`` bits.
 
     ``grid``: cells per side of the triangular grid. ``anchors``: a DataFrame
-    with a column ``c``, or None for a seeded draw. ``join_hint``: physical
-    hint for the expansion joins; None lets the planner choose.
+    with a column ``c``, or None for a seeded draw; ``complement``: it holds
+    what is no anchor. ``reducers``: partitions that the joins' keys are dealt
+    to (Spark raises it to spark.sql.shuffle.partitions); None leaves it to Spark. ``join_hint``: physical hint for the joins of
+    expanded sides; None means sort-merge, in which Spark splits hot keys.
     """
 
     d: int
@@ -43,6 +42,8 @@ class Spec:
     grid: int = 8
     seed: int = 17
     anchors: DataFrame | None = field(default=None, compare=False)
+    complement: bool = False
+    reducers: int | None = None
     join_hint: str | None = None
 
     def __post_init__(self) -> None:
@@ -52,6 +53,8 @@ class Spec:
             raise ValueError("d must be 0 or more")
         if self.grid < 1:
             raise ValueError("grid must be 1 or more")
+        if self.reducers is not None and self.reducers < 1:
+            raise ValueError("reducers must be 1 or more")
 
     @property
     def reach(self) -> int:
@@ -80,19 +83,11 @@ def _out(df: DataFrame, spec: Spec) -> DataFrame:
     return df.select("l", "r", *ids, B.distance(F.col("l"), F.col("r")).alias("dist"))
 
 
-def _hint(df: DataFrame, spec: Spec) -> DataFrame:
-    """Expanded sides carry the hint: Catalyst does not see in its size estimate that explode multiplies rows."""
-    return df.hint(spec.join_hint or "merge")
-
-
-def _with_masks(points: DataFrame, found: list[int]) -> DataFrame:
-    """One row per point and mask, in a column ``mask``."""
-    if len(found) > MASK_LIMIT:
-        raise ValueError(f"{len(found)} neighbours per string; choose another strategy")
-    if len(found) <= INLINE_MASKS:
-        return points.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("bigint") for m in found])))
-    table = points.sparkSession.createDataFrame([(m,) for m in found], "mask bigint")
-    return points.crossJoin(F.broadcast(table))  # MASK_LIMIT bounds the table
+def _meet(left: DataFrame, right: DataFrame, keys: list[str], spec: Spec) -> DataFrame:
+    """The join of expanded sides. They carry a hint, since Catalyst does not see that explode multiplies rows."""
+    if spec.reducers:
+        left, right = (df.repartition(spec.reducers, *keys) for df in (left, right))
+    return left.join(right.hint(spec.join_hint or "merge"), keys)
 
 
 # Nested loop -----------------------------------------------------------------
@@ -133,7 +128,7 @@ def grid_pairs(points: DataFrame, spec: Spec) -> DataFrame:
     if spec.bag:
         keep = keep | ((F.col("a") == F.col("b")) & (F.col("aid") < F.col("bid")))
     near = B.distance(F.col("a"), F.col("b")) <= spec.reach
-    joined = a.join(_hint(b, spec), ["lo", "hi"]).where(keep & near)
+    joined = _meet(a, b, ["lo", "hi"], spec).where(keep & near)
     cols = [F.least("a", "b").alias("l"), F.greatest("a", "b").alias("r")]
     if spec.bag:
         in_order = a_first | ((F.col("a") == F.col("b")) & (F.col("aid") < F.col("bid")))
@@ -146,7 +141,7 @@ def grid_pairs(points: DataFrame, spec: Spec) -> DataFrame:
 
 def ball_half_candidates(points: DataFrame, spec: Spec) -> DataFrame:
     found = B.masks(spec.bits, ceil(spec.reach / 2), lowest=0)
-    return _with_masks(points, found).withColumn("centre", F.col("v").bitwiseXOR(F.col("mask"))).drop("mask")
+    return with_masks(points, found).withColumn("centre", F.col("v").bitwiseXOR(F.col("mask"))).drop("mask")
 
 
 def ball_half_pairs(points: DataFrame, spec: Spec) -> DataFrame:
@@ -162,7 +157,7 @@ def ball_half_pairs(points: DataFrame, spec: Spec) -> DataFrame:
     x = F.col("l").bitwiseXOR(F.col("r"))
     half = F.floor(F.bit_count(x) / 2)
     canon = F.col("l").bitwiseXOR(x).bitwiseXOR(B.clear_lowest(x, half, spec.reach // 2))
-    return _out(left.join(_hint(right, spec), "centre").where(_ordered(spec) & _close(spec)).where(F.col("centre") == canon), spec)
+    return _out(_meet(left, right, ["centre"], spec).where(_ordered(spec) & _close(spec)).where(F.col("centre") == canon), spec)
 
 
 # Full-radius balls -----------------------------------------------------------
@@ -174,7 +169,7 @@ def ball_full_candidates(points: DataFrame, spec: Spec) -> DataFrame:
     found = B.masks(spec.bits, spec.reach)
     if not found:
         return itself
-    around = _with_masks(points, found).withColumn("centre", F.col("v").bitwiseXOR(F.col("mask"))).drop("mask")
+    around = with_masks(points, found).withColumn("centre", F.col("v").bitwiseXOR(F.col("mask"))).drop("mask")
     return itself.unionByName(around.where("centre < v"))
 
 
@@ -184,8 +179,8 @@ def ball_full_pairs(points: DataFrame, spec: Spec) -> DataFrame:
     left, right = _sides(points, spec)
     if not found:
         return _out(left.join(right, F.lit(False)), spec)
-    around = _with_masks(right, found).withColumn("l", F.col("r").bitwiseXOR(F.col("mask"))).drop("mask").where("l <= r" if spec.bag else "l < r")
-    return _out(left.join(_hint(around, spec), "l").where(_ordered(spec)), spec)
+    around = with_masks(right, found).withColumn("l", F.col("r").bitwiseXOR(F.col("mask"))).drop("mask").where("l <= r" if spec.bag else "l < r")
+    return _out(_meet(left, around, ["l"], spec).where(_ordered(spec)), spec)
 
 
 # Chunk splitting -------------------------------------------------------------
@@ -209,66 +204,77 @@ def split_pairs(points: DataFrame, spec: Spec) -> DataFrame:
     left = got.select("j", "k", F.col("v").alias("l"), *[F.col(i).alias("lid") for i in ids])
     right = got.select("j", "k", F.col("v").alias("r"), *[F.col(i).alias("rid") for i in ids])
     first = B.first_equal_chunk(F.col("l").bitwiseXOR(F.col("r")), _layout(spec)) == F.col("j")
-    return _out(left.join(_hint(right, spec), ["j", "k"]).where(_ordered(spec) & _close(spec) & first), spec)
+    return _out(_meet(left, right, ["j", "k"], spec).where(_ordered(spec) & _close(spec) & first), spec)
 
 
 # Anchor points ---------------------------------------------------------------
 
 
-def anchor_target(bits: int, d: int) -> int:
-    """Anchors for which about 0.001 strings of the whole universe are expected to be uncovered."""
-    whole = 1 << bits
-    ball = B.ball_size(bits, d)
-    return whole if ball == 0 else min(whole, ceil(log(1000 * whole) * whole / ball))
-
-
-def anchor_mode(bits: int, d: int) -> str:
-    """How to find a point's anchors: scan them all, or probe the 2d-ball."""
-    return "scan" if anchor_target(bits, d) < B.ball_size(bits, min(2 * d, bits)) else "expand"
-
-
-def draw_anchors(points: DataFrame, spec: Spec, count: int) -> DataFrame:
-    """``count`` seeded pseudo-random strings of the universe, distinct."""
-    whole = 1 << spec.bits
-    if count >= whole:
-        return points.sparkSession.range(whole).select(F.col("id").alias("c"))
-    drawn = points.sparkSession.range(count).select(F.pmod(F.xxhash64(F.col("id"), F.lit(spec.seed)), F.lit(whole)).alias("c"))
-    return drawn.distinct()
+def _anchor_set(points: DataFrame, spec: Spec) -> tuple[AnchorSet, str]:
+    """The given or drawn anchors, and how to find those near a point."""
+    if spec.anchors is None:
+        return A.drawn(points.sparkSession, spec.bits, spec.d, spec.seed), A.sizing(spec.bits, spec.d)["mode"]
+    given = AnchorSet(spec.anchors.select("c").distinct(), spec.complement)
+    # Only a set that was counted is scanned.
+    return given, "expand" if spec.complement else A.mode(given.table.limit(A.SCAN_LIMIT + 1).count(), spec.bits, spec.d)
 
 
-#: Most anchors of a draw; uncovered points become anchors of their own, so fewer stay exact.
-ANCHOR_LIMIT = 4096
-
-
-def _anchors(points: DataFrame, spec: Spec) -> DataFrame:
-    """The given or drawn anchors, and every point that none of them covers within ``d``."""
-    drawn = spec.anchors if spec.anchors is not None else draw_anchors(points, spec, min(anchor_target(spec.bits, spec.d), ANCHOR_LIMIT))
+def homes(points: DataFrame, spec: Spec) -> DataFrame:
+    """``(l, c)``: each distinct value's nearest anchor within ``d``, ties to the smaller; what no anchor covers is its own."""
     values = points.select("v").distinct()
-    near = B.distance(F.col("v"), F.col("c")) <= spec.reach
-    bare = values.join(drawn, near, "left_anti")
-    return drawn.select("c").unionByName(bare.select(F.col("v").alias("c"))).distinct()
+    if spec.anchors is None and A.sizing(spec.bits, spec.d)["anchors"] == 1 << spec.bits:  # every string is an anchor
+        return values.select(F.col("v").alias("l"), F.col("v").alias("c"))
+    given, how = _anchor_set(points, spec)
+    got = A.near(values, given, spec.bits, spec.reach, how).groupBy("v").agg(A.nearest().alias("m"))
+    return values.join(got.hint("merge"), "v", "left").select(F.col("v").alias("l"), F.coalesce("m.c", "v").alias("c"))
 
 
 def anchor_candidates(points: DataFrame, spec: Spec) -> DataFrame:
-    """Each point once for every anchor within ``2d``."""
-    return points.join(_anchors(points, spec), B.distance(F.col("v"), F.col("c")) <= 2 * spec.reach)
+    """Each point once for every anchor within ``2d``, uncovered points among the anchors."""
+    given, how = _anchor_set(points, spec)
+    values = points.select("v").distinct()
+    covered = A.near(values, given, spec.bits, spec.reach, how).select("v").distinct()
+    bare = values.join(covered.hint("merge"), "v", "left_anti")
+    reach = min(2 * spec.reach, spec.bits)
+    near_given = A.near(points, given, spec.bits, reach, how)
+    near_bare = A.near(points, AnchorSet(bare.select(F.col("v").alias("c"))), spec.bits, reach, "expand")
+    return near_given.unionByName(near_bare).select(*points.columns, "c")
 
 
-def anchor_home(points: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Nearest anchor of each distinct value; ties go to the smaller anchor."""
-    dist = B.distance(F.col("v"), F.col("c"))
-    return points.select("v").distinct().crossJoin(anchors.select("c")).groupBy("v").agg(F.min(F.struct(dist.alias("dist"), F.col("c").alias("c"))).alias("m")).select("v", F.col("m.c").alias("home"), F.col("m.dist").alias("dist"))
+def anchor_home(points: DataFrame, anchors: DataFrame, *, bits: int = B.WORD, d: int | None = None) -> DataFrame:
+    """Nearest anchor of each distinct value, ``(v, home, dist)``; ties go to the smaller anchor.
+
+    With ``d``, anchors farther away do not count and values without one are
+    left out. Few anchors, by a count, are scanned; of more, each ball of
+    growing radius is looked up for those values that have none yet.
+    """
+    given, values = AnchorSet(anchors.select("c").distinct()), points.select("v").distinct()
+    reach = bits if d is None else min(d, bits)
+    if given.table.limit(A.SCAN_LIMIT + 1).count() <= A.SCAN_LIMIT:
+        # Anchors as one array that every row gets: an inner loop for each value, no pairs.
+        held = given.table.agg(F.array_sort(F.collect_list("c")).alias("all"))
+        best = F.array_min(F.transform("all", lambda c: F.struct(B.distance(F.col("v"), c).alias("far"), c.alias("c"))))
+        got = values.crossJoin(F.broadcast(held)).select("v", best.alias("m")).where(F.col("m").isNotNull() & (F.col("m.far") <= reach))
+        return got.select("v", F.col("m.c").alias("home"), F.col("m.far").alias("dist"))
+    found = A.near(values, given, bits, reach, "expand").groupBy("v").agg(A.nearest().alias("m"))
+    return found.select("v", F.col("m.c").alias("home"), F.col("m.far").alias("dist"))
 
 
 def anchor_pairs(points: DataFrame, spec: Spec) -> DataFrame:
-    """``l`` sits at its home anchor, at most ``d`` away; every ``r`` within ``d`` of it is a member within ``2d``."""
-    got = anchor_candidates(points, spec)
-    dist = B.distance(F.col("v"), F.col("c"))
-    home = got.groupBy("v").agg(F.min(F.struct(dist.alias("d"), F.col("c").alias("c"))).alias("m")).select(F.col("v").alias("l"), F.col("m.c").alias("c"))
+    """``l`` sits at its home anchor, at most ``d`` away; every ``r`` within ``d`` of it is a member within ``2d``.
+
+    Of the anchors only homes have members, so no others are looked up: at most
+    one for each value, however many were drawn.
+    """
+    home = homes(points, spec)
+    used = AnchorSet(home.select("c").distinct())
+    small = used.table.limit(A.SCAN_LIMIT + 1).count()
+    reach = min(2 * spec.reach, spec.bits)
+    members = A.near(points, used, spec.bits, reach, A.mode(small, spec.bits, spec.reach))
+    members = members.select("c", F.col("v").alias("r"), *([F.col("id").alias("rid")] if spec.bag else []))
     if spec.bag:
-        home = home.join(points.select(F.col("v").alias("l"), F.col("id").alias("lid")), "l")
-    members = got.select("c", F.col("v").alias("r"), *([F.col("id").alias("rid")] if spec.bag else []))
-    return _out(home.join(_hint(members, spec), "c").where(_ordered(spec) & _close(spec)), spec)
+        home = home.join(points.select(F.col("v").alias("l"), F.col("id").alias("lid")).hint("merge"), "l")
+    return _out(_meet(home, members, ["c"], spec).where(_ordered(spec) & _close(spec)), spec)
 
 
 Step = Callable[[DataFrame, Spec], DataFrame]

@@ -6,20 +6,26 @@ the residual predicate has to look at, both for values spread evenly.
 
 from __future__ import annotations
 
+import logging
 from math import ceil
 
 from nearbit.functions import bits as B
+from nearbit.operators.anchors import MASK_LIMIT, sizing
+
+log = logging.getLogger("nearbit")
 
 #: Below this many strings a nested loop over one broadcast side is cheapest.
 SMALL = 5_000
 #: A shipped row costs about this many candidate comparisons.
 SHIP_COST = 8.0
+#: Largest ball that the choice considers.
+MASKS = min(2_000, MASK_LIMIT)
+#: Candidates beyond which a warning says that no strategy is cheap.
+MANY = 1e12
 
 
 def shipped_rows(strategy: str, n: int, d: int, bits: int, grid: int = 8) -> float:
     """Rows through the exchange; the anchor figure is an expectation."""
-    from nearbit.operators.strategies import ANCHOR_LIMIT, anchor_target
-
     d = min(d, bits)
     if strategy == "nested_loop":
         return n
@@ -32,8 +38,8 @@ def shipped_rows(strategy: str, n: int, d: int, bits: int, grid: int = 8) -> flo
     if strategy == "split":
         return n * min(d + 1, bits)
     if strategy == "anchor":
-        anchors = min(anchor_target(bits, d), ANCHOR_LIMIT)
-        return n * max(1.0, anchors * B.ball_size(bits, 2 * d) / 2**bits)
+        anchors = min(sizing(bits, d)["anchors"], n)  # only homes have members, a value has one home
+        return n * max(1.0, anchors * (1 + B.ball_size(bits, 2 * d)) / 2**bits)
     raise KeyError(strategy)
 
 
@@ -64,5 +70,8 @@ def choose(n: int, d: int, bits: int) -> str:
         return "nested_loop"
     if d == 0 or d >= bits:
         return "split" if d == 0 else "grid"
-    names = ["grid", "split"] + (["ball_half"] if B.ball_size(bits, ceil(d / 2)) <= 2000 else []) + (["ball_full"] if B.ball_size(bits, d) <= 2000 else [])
-    return min(names, key=lambda s: estimate(s, n, d, bits)["cost"])
+    names = ["grid", "split"] + (["ball_half"] if B.ball_size(bits, ceil(d / 2)) <= MASKS else []) + (["ball_full"] if B.ball_size(bits, d) <= MASKS else [])
+    best = min(names, key=lambda s: estimate(s, n, d, bits)["cost"])
+    cost = estimate(best, n, d, bits)
+    log.log(logging.WARNING if cost["candidates"] > MANY else logging.INFO, "%s for %s strings of %s bits, distance %s: %.3g rows shipped, %.3g candidates", best, n, bits, d, cost["shipped"], cost["candidates"])
+    return best
