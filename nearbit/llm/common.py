@@ -45,6 +45,25 @@ def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
 
 
+#: Words of 64 bits in a bitmap, a power of two: 2^22 bits, 512 KB.
+BITMAP = 1 << 16
+
+
+def bitmap(hashes: DataFrame, size: int = BITMAP) -> Column:
+    """The bits of the 64-bit hashes ``h`` as an array literal of ``size`` longs, however many they are."""
+    cells = hashes.groupBy(F.pmod(F.shiftright("h", 6), F.lit(size)).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("h", F.lit(64)).cast("int"))).alias("x"))
+    out = ["0"] * size
+    for row in cells.collect():  # at most ``size`` rows
+        out[row["at"]] = str(row["x"])
+    return F.split(F.lit(",".join(out)), ",").cast("array<bigint>")
+
+
+def has_bit(h: Column, bits: Column, size: int = BITMAP) -> Column:
+    """Whether the bitmap has the hash."""
+    at = F.pmod(F.shiftright(h, 6), F.lit(size)).cast("int")
+    return F.getbit(F.get(bits, at), F.pmod(h, F.lit(64)).cast("int")) == 1
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id's text, modulo 4; fold 2 is held out. A null id counts as held out."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)).cast("int"), F.lit(2))

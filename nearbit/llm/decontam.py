@@ -27,13 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nearbit.llm.common import barrier, next_to, small_side, stored
+from nearbit.llm.common import barrier, bitmap, has_bit, next_to, small_side, stored
 from nearbit.llm.quality import pairs
 
 WINDOW, GRAM = 10, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words of 64 bits in the bitmap, a power of two: 2^22 bits, 512 KB.
-BITMAP = 1 << 16
 
 
 def words_of(text: Column) -> Column:
@@ -82,21 +80,6 @@ def _kept(df: DataFrame, run: int) -> DataFrame:
     return df.withColumn("_kept", F.when(short, F.array(F.array_min("_grams"))).otherwise(F.col(last))).drop(*made)
 
 
-def _bit(h: Column, bits: Column) -> Column:
-    """Whether the bitmap has the hash."""
-    at = F.pmod(F.shiftright(h, 6), F.lit(BITMAP)).cast("int")
-    return F.getbit(F.get(bits, at), F.pmod(h, F.lit(64)).cast("int")) == 1
-
-
-def _bitmap(hashes: DataFrame) -> Column:
-    """The hashes' bits as an array literal of ``BITMAP`` longs, however many they are."""
-    cells = hashes.groupBy(F.pmod(F.shiftright("h", 6), F.lit(BITMAP)).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("h", F.lit(64)).cast("int"))).alias("x"))
-    out = ["0"] * BITMAP
-    for row in cells.collect():  # at most BITMAP rows
-        out[row["at"]] = str(row["x"])
-    return F.split(F.lit(",".join(out)), ",").cast("array<bigint>")
-
-
 def _spot(documents: DataFrame, windows: DataFrame, window: int, k: int) -> DataFrame:
     """``(doc, mark, at, span, items)`` for each place where one of the windows of ``window`` words occurs.
 
@@ -106,12 +89,12 @@ def _spot(documents: DataFrame, windows: DataFrame, window: int, k: int) -> Data
     run = window - k + 1
     prints = _kept(_grams(windows.withColumnRenamed("words", "_words"), k), run)
     prints = prints.select(F.explode(F.array_distinct("_kept")).alias("h")).distinct()
-    bits = _bitmap(prints)
+    bits = bitmap(prints)
     doc = _kept(_grams(documents, k), run)
     # Kept hashes come in runs of equals: the first of each run is enough to know that the text is concerned.
-    doc = doc.where(F.exists("_kept", lambda h: _bit(h, bits)))
+    doc = doc.where(F.exists("_kept", lambda h: has_bit(h, bits)))
     n = F.size("_words")
-    doc = barrier(doc, _fp=F.filter(F.array_distinct("_kept"), lambda h: _bit(h, bits)))
+    doc = barrier(doc, _fp=F.filter(F.array_distinct("_kept"), lambda h: has_bit(h, bits)))
     near = F.filter(F.transform("_grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))), lambda g: F.array_contains(F.col("_fp"), g["h"]))
     doc = doc.withColumn("_g", F.explode(near))
     start = F.greatest(F.col("_g.i") - (window - k), F.lit(0))

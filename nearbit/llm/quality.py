@@ -2,15 +2,19 @@
 
 Words and word pairs of every text are hashed into ``buckets`` counters, once
 for the trusted documents (the target) and once for the whole corpus. A text's
-score is the mean over its grams of log p_target / p_corpus, where the corpus
-is taken without the gram itself. A document stays if it passes the
-base rules and its score reaches ``threshold``.
+score is the mean over its grams of log p_target / p_corpus. Documents are dealt
+to ``FOLDS`` folds by a hash of id and text, and each is scored with the counts
+of the other folds only: what a document says itself, and whether it is trusted,
+has no part in its own score. A document stays if it passes the base rules and
+its score reaches ``threshold``.
 
-Column expressions only: no Python on the executors, no shuffle of texts. Only
-``buckets`` counters are shuffled, after partial aggregation.
+Column expressions only: no Python on the executors. What is shuffled is
+counters, ``FOLDS`` times ``buckets`` of them a task at most, and beyond
+``BROADCAST_ROWS`` trusted ids the texts that a bitmap of the ids lets through.
 
 Null text: no words, rejected. Null ids keep their row. Repeated rows are
-scored each. With no trusted documents all ratios are 0.
+scored each, alike. With no trusted documents all ratios are 0. A very long
+text is scored whole; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,16 +24,18 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearbit.llm.common import barrier, next_to, set_aside
+from nearbit.llm.common import BROADCAST_ROWS, barrier, bitmap, has_bit, next_to, set_aside
 
 #: Counters, a power of two.
 BUCKETS = 65_536
+#: Parts of the corpus that are left out in turn.
+FOLDS = 4
+#: Longs of the bitmap of trusted ids: 8 MB, for lists that are too long to broadcast.
+ID_BITMAP = 1 << 20
 #: Counts added to each bucket, dealt to target and corpus in the ratio of their sizes.
-SMOOTH = 4.0
+SMOOTH = 16.0
 #: Nats per gram. A typical clean text scores just above 0, junk well below.
 THRESHOLD = -0.13
-#: Trusted ids up to which they may be broadcast: 16 MB.
-BROADCAST_ROWS = 2_000_000
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
@@ -64,25 +70,41 @@ def bucket_of(h: Column, buckets: int) -> Column:
     return F.shiftrightunsigned(h, 65 - buckets.bit_length()).cast("int")
 
 
+def fold_of(doc_id: str, text: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), doc_id, text), F.lit(FOLDS)).cast("int")
+
+
 def _counts(df: DataFrame, text: str, buckets: int) -> DataFrame:
-    grams = _hashes(df.select(F.col(text)), text)
-    return grams.select(F.explode(F.concat("_h1", "_h2")).alias("_h")).groupBy(bucket_of(F.col("_h"), buckets).alias("b")).agg(F.count("*").alias("n"))
+    """``(b, n)``: counters of the folds one after the other."""
+    grams = _hashes(df.select("_fold", F.col(text)), text)
+    grams = grams.select("_fold", F.explode(F.concat("_h1", "_h2")).alias("_h"))
+    return grams.groupBy((F.col("_fold") * buckets + bucket_of(F.col("_h"), buckets)).alias("b")).agg(F.count("*").alias("n"))
+
+
+def _among(df: DataFrame, good: DataFrame) -> DataFrame:
+    """The rows whose ``doc_id`` is in ``good``; of the others no text is shuffled but what a bitmap can't tell."""
+    if good.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(good), "doc_id", "left_semi")
+    bits = bitmap(good.select(F.xxhash64("doc_id").alias("h")), ID_BITMAP)
+    return df.where(has_bit(F.xxhash64("doc_id"), bits, ID_BITMAP)).join(good.hint("merge"), "doc_id", "left_semi")
 
 
 def log_ratios(df: DataFrame, good: DataFrame, doc_id: str, text: str, buckets: int) -> Column:
-    """The log ratio of each bucket, as an array literal of ``buckets`` doubles (that bounds what the driver holds)."""
-    small = good.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    target = df.select(F.col(doc_id).alias("doc_id"), text).join(F.broadcast(good) if small else good.hint("merge"), "doc_id", "left_semi")
-    raw, own = [0] * buckets, [0] * buckets
-    for into, frame in ((raw, df), (own, target)):
-        for row in _counts(frame, text, buckets).collect():  # at most one row a bucket
+    """The log ratio of each bucket without fold 0, without fold 1 and so on, as one array literal (its size bounds what the driver holds)."""
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), fold_of(doc_id, text).alias("_fold"))
+    raw, own = [0] * (FOLDS * buckets), [0] * (FOLDS * buckets)
+    for into, frame in ((raw, rows), (own, _among(rows, good))):
+        for row in _counts(frame, "text", buckets).collect():  # at most one row a counter
             into[row.b] = row.n
-    n_raw, n_own = sum(raw), sum(own)
-    out = [0.0] * buckets
-    for b in range(buckets if n_own else 0):  # without a target nothing is said
-        share = n_own / n_raw
-        # Less the gram itself, so that what no other text has says nothing.
-        out[b] = math.log((own[b] + SMOOTH * share) / ((max(raw[b] - 1, 0) + SMOOTH) * share))
+    out = [0.0] * (FOLDS * buckets)
+    all_raw, all_own = ([sum(x[b::buckets]) for b in range(buckets)] for x in (raw, own))
+    for k in range(FOLDS):
+        at = range(k * buckets, (k + 1) * buckets)
+        n_raw, n_own = sum(all_raw) - sum(raw[i] for i in at), sum(all_own) - sum(own[i] for i in at)
+        if n_own:  # without a target nothing is said
+            share = n_own / n_raw
+            for b, i in enumerate(at):
+                out[i] = math.log((all_own[b] - own[i] + SMOOTH * share) / ((all_raw[b] - raw[i] + SMOOTH) * share))
     return F.split(F.lit(",".join(map(repr, out))), ",").cast("array<double>")  # folds into one literal
 
 
@@ -120,10 +142,10 @@ def annotate(df: DataFrame, *, trusted: DataFrame, doc_id: str = "doc_id", text:
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     rows = barrier(rows, _lines=F.when(F.contains(t, F.lit("\n")), lines).otherwise(F.array().cast("array<string>")), n_symbols=n_among(t, "#*$%&|<>").cast("bigint"))
     # What is read off the text comes first: later steps then carry the hashes only.
-    rows = barrier(rows, _w=words_of(F.col(text)), n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint")).drop("_lines")
+    rows = barrier(rows, _from=fold_of(doc_id, text) * buckets, _w=words_of(F.col(text)), n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint")).drop("_lines")
     rows = barrier(rows, _h1=F.transform("_w", lambda w: F.xxhash64(w)), word_chars=F.length(F.array_join("_w", "")).cast("bigint")).drop("_w")
     rows = barrier(rows, _h2=pairs(F.col("_h1"), 1))
-    total = sum(F.aggregate(h, F.lit(0.0), lambda acc, h: acc + F.get(ratios, bucket_of(h, buckets))) for h in ("_h1", "_h2"))
+    total = sum(F.aggregate(h, F.lit(0.0), lambda acc, h: acc + F.get(ratios, F.col("_from") + bucket_of(h, buckets))) for h in ("_h1", "_h2"))
     rows = barrier(rows, n_words=F.size("_h1").cast("bigint"), llr=total / F.greatest(F.size("_h1") + F.size("_h2"), F.lit(1)), _h4=pairs(F.col("_h2"), 2)).drop("_h1", "_h2")
     rows = with_repeats(barrier(rows, _h8=pairs(F.col("_h4"), 4)).drop("_h4"), "_h8", WINDOW).withColumnRenamed("_repeats", "n_repeat_words")
     rows = rows.select(*back, *made[:5], "llr")

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from nearbit.llm import decontam, html_text, langid, licenses, near_dup, packing, pii, quality, queries, shingles, token_counts, toxicity
 from nearbit.llm.common import table
@@ -58,6 +59,44 @@ def test_quality(spark, small, odd, none):
     assert {r.llr for r in quality.annotate(odd, trusted=trusted.where("false")).collect()} == {0.0}
 
 
+def llr_brute(rows, good, buckets):
+    """Mean log ratio of each row, with the counts of the other folds."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    of_text = lambda t, seed=42: xxhash.xxh64_intdigest(t.encode(), seed)
+    of_long = lambda n, seed=42: xxhash.xxh64_intdigest(n.to_bytes(8, "little", signed=n < 1 << 63), seed)
+    grams, folds, raw, own = [], [], Counter(), Counter()
+    for key, text in rows:
+        h = [of_text(w) for w in WORD.findall(text or "")]
+        grams.append([x >> (65 - buckets.bit_length()) for x in [*h, *(of_long(b, of_long(a)) for a, b in zip(h, h[1:]))]])
+        at = of_text("fold")
+        at = at if key is None else of_long(key, at)
+        folds.append(signed(at if text is None else of_text(text, at)) % quality.FOLDS)
+        for into in (raw, own) if key in good else (raw,):
+            into.update((folds[-1], b) for b in grams[-1])
+    out = []
+    for found, fold in zip(grams, folds):
+        less = [Counter(), Counter()]
+        for c, into in ((raw, less[0]), (own, less[1])):
+            for (f, b), n in c.items():
+                into[b] += n * (f != fold)
+        n_raw, n_own = sum(less[0].values()), sum(less[1].values())
+        share = n_own / n_raw if n_raw else 0
+        out.append(sum(math.log((less[1][b] + quality.SMOOTH * share) / ((less[0][b] + quality.SMOOTH) * share)) for b in found) / max(1, len(found)) if n_own else 0.0)
+    return out
+
+
+def test_quality_ratios(spark, small, odd, monkeypatch):
+    marks = table(spark, small, "labels")
+    some = documents(spark, small).limit(60).select("doc_id", "text")
+    for df, trusted in ((spark.createDataFrame(some.collect(), some.schema), marks), (odd, labels(spark, [(1, 1, 0), (9, 1, 0), (None, 1, 0)]))):
+        good = {r.doc_id for r in trusted.where("quality = 1 and doc_id is not null").collect()}
+        want = Counter((k, t, round(x, 9)) for (k, t), x in zip(texts(df), llr_brute(texts(df), good, 256), strict=True))
+        got = lambda: Counter((r.doc_id, r.text, round(r.llr, 9)) for r in quality.annotate(df, trusted=trusted, buckets=256).collect())  # noqa: E731, B023
+        assert got() == want
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", 1)  # by bitmap and merge
+    assert got() == want
+
+
 def test_quality_parts_junk_from_prose(spark, small):
     got = queries.op2_quality_rules(spark, small).join(table(spark, small, "labels"), "doc_id").where("not base_failed").groupBy("quality", "kept").count().collect()
     n = {(r.quality, r.kept): r["count"] for r in got}
