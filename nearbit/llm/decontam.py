@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nearbit.llm.common import barrier, bitmap, has_bit, next_to, small_side, stored
+from nearbit.llm.common import barrier, bitmap, has_bit, next_to, set_aside, small_side, stored
 from nearbit.llm.quality import pairs
 
 WINDOW, GRAM = 10, 5
@@ -162,3 +162,12 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "
     items, n_hit = F.coalesce("items", F.array().cast("array<string>")), F.coalesce("n_hit", F.lit(0)).cast("bigint")
     out = out.select(F.col("x.doc").alias("doc_id"), "x.mark", "n_words", n_hit.alias("n_hit"), items.alias("items"), F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", "spans", (F.col("n_hit") > 0).alias("contaminated"), F.col("mark").alias("text_hash"))
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, *, most_hit: float = 0, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows, with all columns, of which at most ``most_hit`` percent of the words are hit."""
+    found = decontaminate(documents, benchmark, doc_id=doc_id, text=text, **options)
+    hit = found.where(100 * F.col("n_hit") > most_hit * F.col("n_words")).select(F.col("doc_id").alias("doc"), F.col("text_hash").alias("mark")).distinct()
+    rows, back = set_aside(documents, doc_id, text)
+    rows = rows.withColumn("mark", mark_of(F.col(text)))
+    return rows.alias("x").join(hit.alias("y").hint("merge"), same_row("x", "y", doc_id), "left_anti").select(*back)

@@ -4,7 +4,8 @@
    a class, which its smallest id represents. Only representatives go on.
 2. Circulant MinHash (two permutations, one shifted) makes the signature;
    ``bands`` of ``rows`` coordinates make the buckets. Two texts at the
-   threshold of 85 % miss all 20 buckets with probability 8e-6.
+   threshold miss all buckets with probability 3e-6 at 80 % and 32 bands, as
+   is the default, and 8e-6 at 85 % and 20 bands.
 3. In each bucket the member with the most company is the pivot; all others are
    compared with it on their full sets. Links make components.
 4. Buckets with members outside the pivot's component are tested completely:
@@ -13,8 +14,11 @@
    members, though no link between different texts is lost.
 
 A row is known by its set, not by its id: repeated rows and ids share their
-class. Null and empty texts link with nothing. Rows with a null id are given
-back with a null component and kept; they represent no class.
+class. Null and empty texts link with nothing and stay. Rows with a null id take
+part under a number of their own, from ``NAMELESS`` on, that comes from the text;
+ids have to be below that. So a null id is never the smallest of a group with
+ids; in groups without any, the component is null and rows of one text stay.
+An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearbit.llm import shingles as S
-from nearbit.llm.common import slices, stored
+from nearbit.llm.common import set_aside, slices, stored
 from nearbit.llm.components import components
 
-BANDS, ROWS = 20, 5
+BANDS, ROWS = 32, 5
 SHINGLE_WORDS = 5
 PERCENT = 80
+#: Numbers of rows without an id.
+NAMELESS = 1 << 62
 #: Members of a block's side.
 BLOCK = 256
 
@@ -48,7 +54,7 @@ def _profiles(n: int, bands: int, rows: int):
         memory, sketch = S.WordHashes(), S.Circulant(bands * rows)
         for batch in slices(batches):
             out = np.zeros((batch.num_rows, 3 + bands), np.int64)
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            for i, text in enumerate(batch.column(3).to_pylist()):
                 found = S.shingle_set(text, n, memory)
                 if len(found):
                     out[i, 0] = len(found)
@@ -58,9 +64,9 @@ def _profiles(n: int, bands: int, rows: int):
                     for r in range(rows):
                         key = S.mix(key * np.uint64(0x9E3779B97F4A7C15) + coords[:, r])
                     out[i, 3:] = _signed(key)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(out[:, k]) for k in range(out.shape[1])]], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(out[:, k]) for k in range(out.shape[1])]], ["doc_id", "mark", "node", *names])
 
-    return run, "doc_id long, " + ", ".join(f"{c} long" for c in names)
+    return run, "doc_id long, mark long, node long, " + ", ".join(f"{c} long" for c in names)
 
 
 def _sets(n: int):
@@ -126,28 +132,55 @@ def _block_links(percent: int):
     return run
 
 
-def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = SHINGLE_WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for every row."""
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def _grouped(df: DataFrame, doc_id: str, text: str, n: int, percent: int, bands: int, rows: int, block: int) -> DataFrame:
+    """``(doc_id, mark, node, n_shingles, top)`` for every row: a hash of its text, its number and the smallest number of its group."""
+    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    node = F.coalesce(F.col(doc_id).cast("long"), mark.bitwiseAND(NAMELESS - 1) + NAMELESS)
+    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), mark.alias("mark"), node.alias("node"), F.col(text).alias("text"))
     run, schema = _profiles(n, bands, rows)
     profile = stored(docs.mapInArrow(run, schema), "profiles")
     full = profile.where("n_shingles > 0")
     keys = [f"b{k}" for k in range(bands)]
-    classes = stored(full.where("doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), *[F.first(k).alias(k) for k in keys]), "classes")
+    classes = stored(full.groupBy("d1", "d2").agg(F.min("node").alias("rep"), *[F.first(k).alias(k) for k in keys]), "classes")
 
     banded = classes.select("rep", F.explode(F.array(*keys)).alias("key"))  # the key holds the band
     crowded = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(banded.join(crowded.hint("merge"), "key"), "members")
     if members.limit(1).count():
-        label = _labels(docs, members, n, percent, block)
-        named = classes.select("d1", "d2", "rep").join(label.hint("merge"), F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("label", "rep").alias("component_id"))
+        label = _labels(docs.select("node", "text"), members, n, percent, block)
+        named = classes.select("d1", "d2", "rep").join(label.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("d1", "d2", F.coalesce("label", "rep").alias("top"))
     else:
-        named = classes.select("d1", "d2", F.col("rep").alias("component_id"))
+        named = classes.select("d1", "d2", F.col("rep").alias("top"))
     named = stored(named, "named")
+    cols = ["doc_id", "mark", "node", "n_shingles"]
+    out = full.join(named.hint("merge"), ["d1", "d2"]).select(*cols, "top")
+    return out.union(profile.where("n_shingles = 0").select(*cols, F.col("node").alias("top")))
+
+
+def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = SHINGLE_WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)`` for every row."""
+    got = _grouped(df, doc_id, text, n, percent, bands, rows, block)
+    return got.select("doc_id", "n_shingles", F.when(F.col("top") < NAMELESS, F.col("top")).alias("component_id"), (F.col("node") == F.col("top")).alias("kept"))
+
+
+def deduplicated(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = SHINGLE_WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """Of each group of near duplicates one row, with all columns: that with the smallest id; of its copies under the same id any.
+
+    Texts without words stay, all of them.
+    """
+    got = _grouped(df, doc_id, text, n, percent, bands, rows, block).where("node = top")
+    stay = stored(got.groupBy("doc_id", "mark").agg((F.count_if(F.col("n_shingles") > 0) > 1).alias("again")), "stay")
+    given, back = set_aside(df, doc_id, text)
+    marked = given.withColumn("_mark", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+
+    def rows_of(keys: DataFrame) -> DataFrame:
+        same = [F.col(f"x.{doc_id}").cast("long").eqNullSafe(F.col("y.doc_id")), F.col("x._mark") == F.col("y.mark")]
+        return marked.alias("x").join(keys.alias("y").hint("merge"), same, "left_semi")
 
-    out = full.where("doc_id is not null").join(named.hint("merge"), ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")
-    rest = profile.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.union(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = rows_of(stay.where("not again")).select(*back)
+    if stay.where("again").limit(1).count():  # rows that repeat id and text
+        out = out.union(rows_of(stay.where("again")).dropDuplicates([doc_id, "_mark"]).select(*back))
+    return out
 
 
 def _labels(docs: DataFrame, members: DataFrame, n: int, percent: int, block: int) -> DataFrame:
@@ -156,8 +189,8 @@ def _labels(docs: DataFrame, members: DataFrame, n: int, percent: int, block: in
     rated = members.join(company.hint("merge"), "rep")
     pivots = stored(rated.groupBy("key").agg(F.max(F.struct("company", (-F.col("rep")).alias("minus"))).alias("m"), F.first("size").alias("size"), F.sum(F.xxhash64("rep").bitwiseAND(0xFFFFFFFFFFFF)).alias("mark")).select("key", (-F.col("m.minus")).alias("pivot"), "size", "mark"), "pivots")
 
-    needed = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.join(needed.hint("merge"), "doc_id", "left_semi")
+    needed = members.select(F.col("rep").alias("node")).distinct()
+    texts = docs.join(needed.hint("merge"), "node", "left_semi")
     sets = texts.mapInArrow(_sets(n), "rep long, shingles binary")
     sets = stored(sets, "sets")
 

@@ -30,7 +30,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85, bands=20)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,22 +118,36 @@ def near_brute(rows, n, percent):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and rows[i][0] is not None and rows[j][0] is not None and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 parent[max(top(i), top(j))] = min(top(i), top(j))
     least = {}
     for i, (key, _) in enumerate(rows):
-        least[top(i)] = min(least.get(top(i), key), key) if key is not None else None
-    return Counter((key, len(sets[i]), least[top(i)]) for i, (key, _) in enumerate(rows))
+        if key is not None:
+            least[top(i)] = min(least.get(top(i), key), key)
+    return Counter((key, len(sets[i]), least.get(top(i))) for i, (key, _) in enumerate(rows))
 
 
 def test_near_duplicates(spark, small, odd, none):
     for df in (odd, documents(spark, small)):
         got = near_dup.near_duplicates(df, n=3, percent=85).collect()
         assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == near_brute(texts(df), 3, 85)
-        assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
+        assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None or r.component_id is not None)
     assert near_dup.near_duplicates(none).count() == 0
 
 
+def test_rows_without_an_id_and_repeated_rows(spark, none):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    near = a.replace("a30", "other")
+    rows = [(None, a, "k"), (None, a, "l"), (7, a, "m"), (5, near, "n"), (5, near, "o"), (None, b, "p"), (None, b, "q"), (None, None, "r"), (None, "", "s"), (3, " ", "t"), (3, " ", "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, top string")
+    got = near_dup.near_duplicates(df).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in got) == Counter([(None, 5, False)] * 2 + [(7, 5, False)] + [(5, 5, True)] * 2 + [(None, None, True)] * 4 + [(3, 3, True)] * 2)
+    left = near_dup.deduplicated(df).collect()
+    assert Counter((r.doc_id, r.text) for r in left) == Counter([(5, near), (None, b), (None, None), (None, ""), (3, " "), (3, " ")])
+    assert all((r.doc_id, r.text, r.top) in rows for r in left)
+    assert near_dup.deduplicated(none).count() == 0
+
+
 def test_crowded_groups_lose_no_link(spark):
     rng, base, rows = random.Random(5), [f"w{i}" for i in range(120)], []
     for k in range(160):

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,8 +45,11 @@ def test_clashing_columns_pass_through(spark, small, name, stage):
     assert sorted(tuple(str(r[c]) for c in own) for r in rows) == sorted(tuple(str(r[c]) for c in own) for r in bare)
 
 
-def test_rows_without_an_id_are_no_near_duplicates(spark, small):
+def test_rows_without_an_id_are_judged_too(spark, small):
     text = " ".join(f"word{i}" for i in range(60))
-    docs = spark.createDataFrame([(1, text), (2, text), (None, text), (None, text), (3, text), (3, text), (4, None)], "doc_id long, text string")
-    left = corpus_pipeline.near_duplicates(spark, docs, small).collect()
-    assert sorted((r.doc_id for r in left), key=str) == [1, 4, None, None]
+    item = table(spark, small, "benchmark").where("length(text) > 100").first().text
+    docs = spark.createDataFrame([(1, text), (2, text), (None, text), (None, text), (3, text), (3, text), (4, None), (None, item), (5, "clean"), (5, item)], "doc_id long, text string")
+    left = corpus_pipeline.near_duplicates(spark, docs, small)
+    assert sorted((r.doc_id for r in left.collect()), key=str) == [1, 4, 5, 5]
+    left = corpus_pipeline.decontamination(spark, docs, small).collect()
+    assert Counter(r.doc_id for r in left) == Counter([1, 2, None, None, 3, 3, 4, 5])
