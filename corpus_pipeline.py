@@ -4,9 +4,11 @@ Each stage gets what its predecessor kept, as documents, and returns documents;
 the last returns the pieces' places in the sequences. Between stages the rows
 are written to the shared folder, so a lost executor costs one stage at most.
 
-Extra columns go through the stages as they are, whatever their names. Rows that
-share an id stay or go together. Rows without an id are judged by the rules, but
-are in no group of near duplicates and are never matched with the benchmark.
+Extra columns go through the stages as they are, whatever their names. Rows are
+told apart by id and text, so rows that share an id, or have none, are judged
+each; of rows that repeat both, one stays. Null and empty texts fail the rules
+of the first stage; a later stage that gets one leaves it. Texts are read whole,
+however long. An empty table gives an empty one at each stage.
 """
 
 from __future__ import annotations
@@ -28,17 +30,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the smallest id. Rows without an id stay."""
-    kept = near_dup.near_duplicates(docs, n=3, percent=85).where("kept").select("doc_id")
-    one = docs.join(kept.distinct().hint("merge"), "doc_id", "left_semi").select(*docs.columns)
-    return one.union(docs.where("doc_id is null"))
+    """One document of each group stays: that with the smallest id. Shingles are of five words, 80 % alike."""
+    return near_dup.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.where(100 * F.col("n_hit") > MOST_HIT * F.col("n_words")).select("doc_id").distinct()
-    return docs.join(hit.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"), most_hit=MOST_HIT)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
