@@ -14,6 +14,7 @@ pieces; repeated rows are packed each.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -32,12 +33,17 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Rows of a length that are ranked in one group.
-GROUP = 50_000
-#: Slots that one row of the plan stands for at most.
+GROUP = 2_000
+#: Slots that one row of the plan stands for at most, once the executors have cut it.
 SLOTS = 10_000
 #: Words whose ids a worker remembers; the memory is emptied when full.
 CACHE = 600_000
 
+# The normaliser and the splitter that the fast way below is written for.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
 # Characters for which the tokenizer's normaliser and splitter are plainly lower case and these classes: ASCII and
 # Latin-1 without the controls that white-space classes disagree on. Other texts go through the tokenizer whole.
 _PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa0-\xff]*")
@@ -56,6 +62,9 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        made = json.loads(self.tokenizer.to_str())
+        #: Any other tokenizer gets all texts whole.
+        self.fast = made["normalizer"] == _NORMALIZER and made["pre_tokenizer"] == _PRE_TOKENIZER and not made["truncation"] and not made["padding"]
         self.known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
@@ -70,7 +79,7 @@ class WordTokens:
             self.known[word] = np.array([t.id for t in model.tokenize(letters)], "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_SPLIT.findall(t.lower()) if _PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
+        split = [_SPLIT.findall(t.lower()) if self.fast and _PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
         for _ in range(2):  # again if the memory was emptied meanwhile
             new = set().union(*(words for words in split if words)).difference(self.known)
             if not new:
@@ -182,11 +191,11 @@ def pack(df: DataFrame, *, capacity: int = CAPACITY, **options) -> DataFrame:
     else:
         ranked = ranked.withColumn("r", F.col("r").cast("long"))
 
-    made = []
-    for length, lo, hi, first, offset, each in plan(counts, capacity):
-        step = max(1, SLOTS // each) * each
-        made += [(length, a, min(hi, a + step), first + (a - lo) // each, offset, each) for a in range(lo, hi, step)]
-    table = spark.createDataFrame(made, "length long, lo long, hi long, first long, offset long, each long")
+    # The driver makes a row for each range, whatever it stands for; executors cut the ranges and fill in the slots.
+    table = spark.createDataFrame(plan(counts, capacity), "length long, lo long, hi long, first long, offset long, each long")
+    step = F.expr(f"greatest(1, {SLOTS} div each) * each")
+    table = table.withColumn("a", F.explode(F.sequence("lo", F.col("hi") - 1, step)))
+    table = table.select("length", F.col("a").alias("lo"), F.least("hi", F.col("a") + step).alias("hi"), (F.col("first") + F.expr("(a - lo) div each")).alias("first"), "offset", "each")
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     slots = table.repartition(width).withColumn("r", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)))
     k = F.col("r") - F.col("lo")

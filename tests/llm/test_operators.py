@@ -197,8 +197,19 @@ def test_packing(spark, small, odd, none):
     assert packing.pack(odd, with_ids=True).where("size(ids) <> length").count() == 0
 
 
+def test_other_tokenizers_go_through_the_library():
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path("byte_bpe_50k.json")
+    other, words = Tokenizer.from_file(path), packing.WordTokens(path)
+    assert not words.fast and packing.WordTokens(packing.tokenizer_path()).fast
+    given = fuzz(3, 100)
+    assert words.encode(given) == [np.asarray(other.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in given]
+
+
 def test_packing_salts_common_lengths(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP", 7)
+    monkeypatch.setattr(packing, "SLOTS", 5)
     got = packing.pack(spark.createDataFrame([(i, "a b c" if i % 3 else "a") for i in range(100)], "doc_id long, text string"), capacity=10).collect()
     assert len({(r.sequence_id, r.offset) for r in got}) == 100
     assert len({r.sequence_id for r in got}) == -(-sum(r.length for r in got) // 10)
