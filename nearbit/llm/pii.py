@@ -17,7 +17,8 @@ copies count each, in all counts alike, so a copied passage reveals as much.
 Column expressions only. Of the texts, only those with mentions are stored.
 
 Null and empty texts have no spans. Rows are told apart by id and text, so
-repeated rows all get their spans, null ids too.
+repeated rows all get their spans, null ids too. Of terms that two entities
+give away, the severer action counts. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -128,7 +129,12 @@ def flagged_terms(mentions: DataFrame, rows: DataFrame, *, smooth: float = SMOOT
     """
     each = mentions.select("_row", F.explode("_entities").alias("entity"))
     n = float(max(1, rows.count()))
-    entities = stored(each.groupBy("entity").agg(F.count("*").alias("docs")).where(F.col("docs") < n), "entities")
+    # Entities of the same documents have all counts in common, so one of them stands for all: a document with thousands
+    # that no other mentions does not pair each with each of its terms.
+    h = F.xxhash64("_row")
+    rated = each.groupBy("entity").agg(F.count("*").alias("docs"), F.sum(h.bitwiseAND(0xFFFFFFFF)).alias("s"), F.bit_xor(h).alias("x"))
+    entities = stored(rated.where(F.col("docs") < n).groupBy("docs", "s", "x").agg(F.min("entity").alias("entity")).select("entity", "docs"), "entities")
+    each = each.join(entities.select("entity").hint("merge"), "entity", "left_semi")
     most = entities.agg(F.max("docs")).first()[0] or 1
     # Even if all its documents mention the commonest entity, a term of more documents reveals too little: nothing that
     # could be flagged is lost, and common words go. Half a document more, for rounding.
@@ -154,10 +160,15 @@ def _term_spans(mentions: DataFrame, flagged: DataFrame) -> DataFrame:
     words = mentions.select("_row", F.posexplode(every).alias("i", "w")).select("_row", "i", "w.*")
     at = F.sum(F.col("gap") + F.col("n")).over(Window.partitionBy("_row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     words = words.select("_row", "term", "n", at.alias("end")).join(told.hint("merge"), ["_row", "term"])
-    spans = words.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct((F.col("end") - F.col("n")).alias("start"), "end", "kind"))).alias("_all"))
-    apart = F.filter("_all", lambda s: ~F.exists("_email", lambda e: (s["start"] < e["end"]) & (e["start"] < s["end"])))
-    got = mentions.select("_row", "_doc", "_mark", "_email").join(spans.hint("merge"), "_row").dropDuplicates(["_doc", "_mark"])
-    return got.select("_doc", "_mark", apart.alias("_term"))
+    # In order, with the furthest end of the addresses that begin before a word ends: beyond the word's start, they overlap.
+    of_words = words.select("_row", (F.col("end") - 1).alias("at"), F.lit(1).alias("late"), F.lit(None).cast("bigint").alias("far"), (F.col("end") - F.col("n")).alias("start"), "end", "kind")
+    address = mentions.select("_row", F.explode("_email").alias("e"))
+    address = address.select("_row", F.col("e.start").alias("at"), F.lit(0).alias("late"), F.col("e.end").alias("far"), "e.start", "e.end", F.lit(None).cast("string").alias("kind"))
+    before = Window.partitionBy("_row").orderBy("at", "late").rowsBetween(Window.unboundedPreceding, 0)
+    apart = of_words.union(address).withColumn("far", F.max("far").over(before)).where(F.col("kind").isNotNull() & (F.coalesce("far", F.lit(0)) <= F.col("start")))
+    spans = apart.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_term"))
+    got = mentions.select("_row", "_doc", "_mark").join(spans.hint("merge"), "_row").dropDuplicates(["_doc", "_mark"])
+    return got.select("_doc", "_mark", "_term")
 
 
 def _prepared(df: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -197,22 +208,22 @@ def sanitised(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **th
     def named(kind: str) -> Column:
         return F.transform(f"_{kind}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
-    each = F.concat(*map(named, KINDS), F.col("_term"))
-    edits = found.select("_doc", "_mark", F.array_sort(F.array_distinct(each)).alias("_edits")).where(F.size("_edits") > 0).dropDuplicates(["_doc", "_mark"])
+    each = found.select("_doc", "_mark", F.explode(F.concat(*map(named, KINDS), F.col("_term"))).alias("s")).select("_doc", "_mark", "s.*").distinct()
+    # Spans that overlap become one, under the tag of the first: it ends where the next begins behind all before it.
+    order = Window.partitionBy("_doc", "_mark").orderBy("start", "end", "kind")
+    each = each.withColumn("far", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    each = each.withColumn("range", F.sum(F.when(F.col("start") < F.col("far"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ranges = each.groupBy("_doc", "_mark", "range").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "end", "kind")).alias("kind"))
+    edits = ranges.groupBy("_doc", "_mark").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_edits"))
     rows, back = set_aside(df, doc_id, text)
     names = rows.columns
     rows = rows.withColumn("_mark", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     same = [F.col(f"x.{doc_id}").eqNullSafe(F.col("y._doc")), F.col("x._mark") == F.col("y._mark")]
     got = rows.alias("x").join(edits.alias("y").hint("merge"), same, "left").select(*[F.col(f"x.{c}") for c in names], F.col("y._edits").alias("_edits"))
     t = F.col(text)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    tag = lambda k: F.coalesce(*[F.when(k == kind, F.lit(v)) for kind, v in TAGS.items()])
-
-    def step(acc: Column, s: Column) -> Column:
-        over = s["start"] < acc["at"]  # the part before is done; spans that overlap share a tag
-        before = F.substring(t, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        out = F.when(over, acc["out"]).otherwise(F.concat(acc["out"], before, tag(s["kind"])))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.coalesce(out, F.lit("")).alias("out"))
-
-    done = F.aggregate("_edits", start, step, lambda acc: F.concat(acc["out"], F.substring(t, (acc["at"] + 1).cast("int"), F.length(t))))
-    return got.withColumn(text, F.when(F.col("_edits").isNull(), t).otherwise(done)).select(*back)
+    tag = lambda k: F.coalesce(*[F.when(k == kind, F.lit(v)) for kind, v in TAGS.items()], F.lit(""))
+    # What stands between the edits, each with the tag before it.
+    first = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("end"), F.lit("").alias("kind")))
+    last = F.array(F.struct(F.length(t).cast("bigint").alias("start"), F.length(t).cast("bigint").alias("end"), F.lit("").alias("kind")))
+    parts = F.zip_with(F.concat(first, "_edits"), F.concat("_edits", last), lambda e, n: F.concat(tag(e["kind"]), F.substring(t, (e["end"] + 1).cast("int"), (n["start"] - e["end"]).cast("int"))))
+    return got.withColumn(text, F.when(F.col("_edits").isNull(), t).otherwise(F.array_join(parts, ""))).select(*back)
