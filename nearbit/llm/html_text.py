@@ -1,17 +1,20 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block tags. Pass one decides each block by where
-it stands (a menu, header, footer, sidebar, notice, advert, form or comment
-section is out), its link density, length and stop-word density: text with many
-links is out; long text with stop words is in; text inside the page's article
-is in unless its links say otherwise. Short and middling blocks stay undecided.
-Pass two gives each undecided block the label of its nearest decided
-neighbours; if those differ, a block between them is in only if it is near
-enough to the text that is in: the nearer side wins, and a tie is out.
+A page is cut into blocks at block tags. What stands in a menu, header, footer,
+sidebar, notice, advert, form or comment section is out. Pass one decides the
+other blocks by link density, length and stop-word density: text with many
+links is out, text that is long enough and has stop words is in, and what is
+neither stays undecided. Being inside an article halves the length that is
+asked for; it decides nothing by itself, and nothing is out for standing elsewhere.
+Pass two gives each undecided block the label of its nearest decided neighbours; if
+those differ, the nearer wins, a heading goes with what follows, and a tie is
+out. If no block of a page is in, the undecided ones of its article are, or else all.
 
 Character references are decoded, white space inside a block becomes one space,
-blocks are joined by a line feed. Null or empty pages give an empty text.
-Repeated pages are extracted each; ids and urls may be null.
+blocks are joined by a line feed. Quotes only open a value behind an equals
+sign; one that never closes ends with its tag. The work is linear in the page.
+Null or empty pages give an empty text. Repeated pages are extracted each; ids
+and urls may be null. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -48,7 +51,9 @@ STOP_WORDS = frozenset(
     el los las y es un una en que por con para se del al no su lo como más pero sus""".split()
 )
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|([^<]+|<)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)|([^<]+|<)", re.S)
+#: A closing slash that is no part of a value.
+EMPTY = re.compile(r"(?:^|[\s\"'])/\s*$")
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -71,6 +76,8 @@ def blocks(page: str) -> list[Block]:
     """The page's blocks with text, in order."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, frames, is an article
+    places: dict[str, list[int]] = {}  # where in the stack a tag is open
+    open_blocks: list[int] = []  # where it has block tags
     parts: list[str] = []
     linked = hidden = framed = inside = links = 0
     heading = False
@@ -87,6 +94,9 @@ def blocks(page: str) -> list[Block]:
         nonlocal hidden, framed, inside, links, heading
         while len(stack) > to:
             tag, frames, article = stack.pop()
+            places[tag].pop()
+            if tag in BLOCKS:
+                open_blocks.pop()
             framed -= frames
             inside -= article
             hidden -= tag in HIDDEN
@@ -116,24 +126,19 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if m.group(2):  # an end tag
-            where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if tag in BLOCKS:
                 end_block()
-            if where is not None and not (tag not in BLOCKS and any(t in BLOCKS for t, _, _ in stack[where + 1 :])):
-                close(where)
+            if (found := places.get(tag)) and (tag in BLOCKS or not open_blocks or open_blocks[-1] < found[-1]):
+                close(found[-1])
             continue
         if tag in BLOCKS:
             end_block()
-            if tag in ENDS_P or tag == "p":
-                where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCKS), None)
-                if where is not None and stack[where][0] == "p":
-                    close(where)
-        if ends := SELF_CLOSING.get(tag):
-            where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCKS), None)
-            if where is not None and stack[where][0] in ends:
-                close(where)
+            if (tag in ENDS_P or tag == "p") and open_blocks and stack[open_blocks[-1]][0] == "p":
+                close(open_blocks[-1])
+        if (ends := SELF_CLOSING.get(tag)) and open_blocks and stack[open_blocks[-1]][0] in ends:
+            close(open_blocks[-1])
         raw_attributes = m.group(4) or ""
-        if tag in VOID or raw_attributes.rstrip().endswith("/") and tag not in RAW:
+        if tag in VOID or EMPTY.search(raw_attributes) and tag not in RAW:
             if tag not in BLOCKS and tag in ("img", "input"):
                 parts.append(" ")
             continue
@@ -154,6 +159,9 @@ def blocks(page: str) -> list[Block]:
         links += tag == "a"
         if tag[:1] == "h" and tag[1:].isdigit():
             heading = True
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCKS:
+            open_blocks.append(len(stack))
         stack.append((tag, frames, article))
     end_block()
     return out
@@ -161,24 +169,17 @@ def blocks(page: str) -> list[Block]:
 
 def first_pass(found: list[Block]) -> list[int]:
     """GOOD, BAD or OPEN for each block."""
-    has_article = any(b.inside and not b.framed for b in found)
     out = []
     for b in found:
         density = b.linked / max(1, len(b.text))
         words = [w.lower() for w in WORD.findall(b.text)]
         stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        size = len(b.text) * (2 if b.inside else 1)
         if b.framed or density > LINKS_OUT:
             out.append(BAD)
-        elif has_article:
-            if not b.inside:
-                out.append(BAD)
-            else:
-                out.append(OPEN if density > LINKS_MAYBE or len(b.text) < SHORT and stops < STOPS_LOW and not b.heading else GOOD)
         elif density > LINKS_MAYBE:
-            out.append(OPEN if len(b.text) >= LONG and stops >= STOPS_HIGH else BAD)
-        elif len(b.text) >= LONG:
-            out.append(GOOD if stops >= STOPS_LOW else OPEN)
-        elif len(b.text) >= SHORT and stops >= STOPS_HIGH:
+            out.append(OPEN if b.inside or size >= LONG and stops >= STOPS_HIGH else BAD)
+        elif size >= LONG and stops >= STOPS_LOW or size >= SHORT and stops >= STOPS_HIGH and not b.heading:
             out.append(GOOD)
         else:
             out.append(OPEN)
@@ -207,16 +208,15 @@ def second_pass(labels: list[int], headings: list[bool]) -> list[int]:
 
 
 def inherits(found: list[Block], labels: list[int]) -> list[int]:
-    """second_pass among the blocks that could be text; framed ones, and those outside an article, are no neighbours."""
-    article = any(b.inside and not b.framed for b in found)
-    own = [i for i, b in enumerate(found) if not b.framed and (b.inside or not article)]
+    """second_pass among the blocks that could be text: framed ones are no neighbours."""
+    own = [i for i, b in enumerate(found) if not b.framed]
     out = list(labels)
     for i, label in zip(own, second_pass([labels[i] for i in own], [found[i].heading for i in own]), strict=True):
         out[i] = label
-    if article and not any(out[i] == GOOD for i in own):  # nothing but short blocks: they are the text
-        for i in own:
-            if labels[i] == OPEN:
-                out[i] = GOOD
+    if not any(label == GOOD for label in out):  # nothing but short blocks: an article's are the text, or else all
+        left = [i for i in own if labels[i] == OPEN]
+        for i in [i for i in left if found[i].inside] or left:
+            out[i] = GOOD
     return [BAD if x == OPEN else x for x in out]
 
 

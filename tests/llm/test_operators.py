@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -440,6 +441,30 @@ def test_html(spark):
     assert html_text.extract(df.where("false")).count() == 0
 
 
+def test_broken_markup_and_long_pages():
+    prose = "The house of the king is in the town and that is where it was for all of the time. " * 3
+    for page in (f'<p class="x>{prose}</p>', f"<p><a href=it's>Link</a> {prose}</p>", f"<p title='never closed>{prose}", f"<p data-x = \"a>b\">{prose}</p>"):
+        text = html_text.main_text(page)
+        assert "king" in text and "<" not in text and "class" not in text and "href" not in text, (page, text)
+    linked = "<p>" + "<a href=/x/>A link of some words here</a> " * 8 + f"</p><p>{prose}</p>"
+    assert html_text.main_text(linked) == " ".join(prose.split())
+    for page in ("</b>" * 250_000, "<b>" + "<div>" * 20_000 + "</b>" * 200_000, "<b><div>" + "<i>" * 50_000 + "</b></x>" * 80_000, "<p>" * 300_000, "<a href=\"" * 100_000):
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 20
+
+
+def test_density_finds_the_text_without_an_article(spark, small):
+    pages = [r.html for r in table(spark, small, "pages").collect()]
+    same, outside = 0, 0
+    for page in pages:
+        want = html_text.main_text(page)
+        same += html_text.main_text(re.sub(r"</?article[^>]*>", "", page)) == want
+        # The article is empty, the text stands beside it.
+        outside += html_text.main_text(re.sub(r"<article[^>]*>", "<main></main><div>", page).replace("</article>", "</div>")) == want
+    assert same >= 0.9 * len(pages) and outside >= 0.9 * len(pages), (same, outside, len(pages))
+
+
 def test_licenses(spark, odd, none):
     rng = random.Random(9)
     filler = lambda n: " ".join(f"f{rng.randrange(10**6)}" for _ in range(n))
