@@ -29,7 +29,7 @@ from nearbit.llm.common import BROADCAST_ROWS, barrier, bitmap, has_bit, next_to
 #: Counters, a power of two.
 BUCKETS = 65_536
 #: Parts of the corpus that are left out in turn.
-FOLDS = 4
+FOLDS = 2
 #: Longs of the bitmap of trusted ids: 8 MB, for lists that are too long to broadcast.
 ID_BITMAP = 1 << 20
 #: Counts added to each bucket, dealt to target and corpus in the ratio of their sizes.
@@ -104,7 +104,8 @@ def log_ratios(df: DataFrame, good: DataFrame, doc_id: str, text: str, buckets:
         if n_own:  # without a target nothing is said
             share = n_own / n_raw
             for b, i in enumerate(at):
-                out[i] = math.log((all_own[b] - own[i] + SMOOTH * share) / ((all_raw[b] - raw[i] + SMOOTH) * share))
+                # Six decimals, which keeps the literal small.
+                out[i] = round(math.log((all_own[b] - own[i] + SMOOTH * share) / ((all_raw[b] - raw[i] + SMOOTH) * share)), 6)
     return F.split(F.lit(",".join(map(repr, out))), ",").cast("array<double>")  # folds into one literal
 
 

@@ -82,7 +82,7 @@ def llr_brute(rows, good, buckets):
                 into[b] += n * (f != fold)
         n_raw, n_own = sum(less[0].values()), sum(less[1].values())
         share = n_own / n_raw if n_raw else 0
-        out.append(sum(math.log((less[1][b] + quality.SMOOTH * share) / ((less[0][b] + quality.SMOOTH) * share)) for b in found) / max(1, len(found)) if n_own else 0.0)
+        out.append(sum(round(math.log((less[1][b] + quality.SMOOTH * share) / ((less[0][b] + quality.SMOOTH) * share)), 6) for b in found) / max(1, len(found)) if n_own else 0.0)
     return out
 
 
