@@ -23,6 +23,8 @@ give away, the severer action counts. An empty table gives an empty one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +46,9 @@ WORD = r"\p{L}[\p{L}\p{M}]*+"
 SMOOTH = 1.0
 GENERAL, REMOVE = 0.6, 0.85
 
+#: Matches that are summed in one go.
+RUN = 256
+
 SPAN = "struct<start:bigint,end:bigint,value:string>"
 
 
@@ -51,18 +56,35 @@ def _none() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with the value computed once: inside a function of elements it would be at each."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def running(lengths: Column) -> Column:
+    """The sum up to each element, in runs of ``RUN``: an array that grows by an element a step is copied at each."""
+
+    def sums(values: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"] + n)).alias("out"))
+        return F.aggregate(values, zero, step, lambda acc: acc["out"])
+
+    none = F.lit(0).cast("bigint")
+    total = lambda r: F.aggregate(r, none, lambda acc, n: acc + n)
+    cut = lambda all_: F.transform(F.sequence(F.lit(0), F.greatest(F.size(all_) - 1, F.lit(0)), F.lit(RUN)), lambda i: F.slice(all_, i + 1, F.lit(RUN)))
+    added = lambda runs: F.flatten(F.zip_with(runs, sums(F.transform(runs, total), none), lambda r, end: sums(r, end - total(r))))
+    return _once(lengths, lambda all_: _once(cut(all_), added))
+
+
 def spans_of(text: Column, pattern: str) -> Column:
     """All matches with their code point offsets, from the text between them."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    both = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.struct(m.alias("m"), F.length(b).cast("bigint").alias("b"), F.length(m).cast("bigint").alias("n")))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), _none().alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["b"]
-        span = F.struct(begin.alias("start"), (begin + x["n"]).alias("end"), x["m"].alias("value")).cast(SPAN)
-        return F.struct((begin + x["n"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def placed(found: Column) -> Column:
+        between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        ends = running(F.zip_with(found, between, lambda m, b: (F.length(b) + F.length(m)).cast("bigint")))
+        return F.zip_with(found, ends, lambda m, end: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("value")).cast(SPAN))
 
-    return F.aggregate(both, start, step, lambda acc: acc["out"])
+    return _once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def _digits(value: Column) -> Column:
