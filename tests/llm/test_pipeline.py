@@ -1,12 +1,68 @@
+import re
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from test_operators import PLAIN, disclosure_brute, hits_brute, llr_brute, near_brute, quality_brute, texts, valid
 
 import corpus_pipeline
+from nearbit.llm import packing, pii, quality
 from nearbit.llm.common import table
 
 
+def sanitised_brute(rows):
+    for (key, text), told in zip(rows, disclosure_brute(rows), strict=True):
+        spans = {(m.start(), m.end(), k) for k in pii.KINDS for m in re.finditer(PLAIN[k], text) if valid(k, m.group())}
+        mail = [(s, e) for s, e, k in spans if k == "email"]
+        for m in re.finditer(r"[^\W\d_]+", text):
+            action = told.get(m.group().lower())
+            if action and not any(s < m.end() and m.start() < e for s, e in mail):
+                spans.add((m.start(), m.end(), action))
+        merged = []
+        for s, e, k in sorted(spans):
+            if merged and s < merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], e)
+            else:
+                merged.append([s, e, k])
+        for s, e, k in reversed(merged):
+            text = text[:s] + pii.TAGS[k] + text[e:]
+        yield key, text
+
+
+def pieces_brute(rows):
+    from tokenizers import Tokenizer
+
+    tokenizer, out = Tokenizer.from_file(packing.tokenizer_path()), Counter()
+    for key, text in rows:
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+        for k, at in enumerate(range(0, len(ids), 4096)):
+            part = np.asarray(ids[at : at + 4096], "<u4")
+            out[key, k, at, len(part), zlib.crc32(part.tobytes())] += 1
+    return out
+
+
+def test_run_against_brute_force(spark, small):
+    rows = texts(table(spark, small, "documents"))
+    good = {r.doc_id for r in table(spark, small, "labels").where("quality = 1").collect()}
+    left = [[r for r, x in zip(rows, llr_brute(rows, good, quality.BUCKETS), strict=True) if not quality_brute(r[1])[5] and x >= quality.THRESHOLD]]
+    firsts = {key for key, _, least in near_brute(left[-1], 5, 80) if key == least}
+    left.append([r for r in left[-1] if r[0] in firsts])
+    hit = {key for key, _, n, *_ in hits_brute(left[-1], [(r.item_id, r.text) for r in table(spark, small, "benchmark").collect()]) if n}
+    left.append([r for r in left[-1] if r[0] not in hit])
+    left.append(list(sanitised_brute(left[-1])))
+    assert len(rows) > len(left[0]) > len(left[1]) > len(left[2]) and left[2] != left[3]  # each stage acts
+    got = corpus_pipeline.run(spark, small).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == pieces_brute(left[3])
+    held = {}
+    for r in got:
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in held.values():
+        parts.sort()
+        assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and sum(parts[-1]) <= 4096
+
+
 def test_each_stage_acts_on_what_is_left(spark, small):
     docs = table(spark, small, "documents")
     ids = [set() for _ in corpus_pipeline.STAGES]
