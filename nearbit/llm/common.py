@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -33,7 +34,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes stored tables that nothing will read again, and lets Spark drop the shuffles of finished jobs."""
+    for df in frames:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    if frames:
+        jvm.System.gc()  # shuffles go with the plans that made them
 
 
 #: Rows up to which a table of ids, hashes or short strings may be broadcast: some 30 MB.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearbit.llm import decontam, html_text, langid, licenses, near_dup, negatives, packing, pii, quality, token_counts, topk, toxicity
+from nearbit.llm import alignment, decontam, html_text, langid, licenses, near_dup, negatives, packing, pii, quality, token_counts, topk, toxicity
 from nearbit.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_doc").alias("doc_id"), *counts, F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -74,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_token_counts, op4_license_scan, op5_near_dup, op6_packing, op7_decontamination, op8_html_text, op9_language_id, op10_pii, op12_top_k, op13_hard_negatives, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_token_counts, op4_license_scan, op5_near_dup, op6_packing, op7_decontamination, op8_html_text, op9_language_id, op10_pii, op11_alignment, op12_top_k, op13_hard_negatives, pipeline)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_near_dup": """
