@@ -1,9 +1,10 @@
 """Alignment of two tokenizers' tokens by the bytes that they cover.
 
-Both cut a text wherever white space follows something else, so what lies
-between (a segment) has the same tokens and links in every text. The relational
-work is done once for each distinct segment of the corpus, and a document adds
-up its segments:
+Both cut a text wherever white space follows something else, and wherever two
+characters meet that no token of either holds side by side. What lies between (a
+segment) has the same tokens and links in every text. The relational work is
+done once for each distinct segment of the corpus, and a document adds up its
+segments:
 
 1. tasks number the distinct segments of their own part of the documents and
    write the documents as these numbers (``coded``);
@@ -21,17 +22,19 @@ A null or empty text has no tokens, nor has one that either library doesn't give
 back byte for byte; such a document has zeros and counts for no pair. Rows
 without an id, repeated rows and rows that share an id are documents each. Empty
 tables give no rows. A task holds one part's distinct segments, at most
-``SEGMENTS`` at a time, and a batch of documents; a text is never cut, however
-long, and a run without white space is one segment.
+``SEGMENTS`` at a time, and a batch of documents; texts are read whole, however
+long.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +47,8 @@ from nearbit.llm.common import release, slices, stored
 from nearbit.llm.packing import BYTE_LETTERS, tokenizer_path
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Distinct segments that a task numbers before it starts anew.
-SEGMENTS = 1_000_000
+#: Distinct segments that a task numbers before it starts anew, and words whose segments it remembers meanwhile.
+SEGMENTS, WORDS = 1_000_000, 200_000
 #: Segments that are encoded at a time.
 BATCH = 4_096
 #: A pair of ids is one number: the first's times this, plus the second's.
@@ -53,12 +56,40 @@ IDS = 1 << 20
 
 MARK = "▁"
 #: Starts with a space or a line break behind something else; other white space starts none.
-SEGMENT = re.compile(r"[ \n]\s*\S*(?:[^\S \n]\s*\S*)*")
+WORD = re.compile(r"[ \n]\s*\S*(?:[^\S \n]\s*\S*)*")
 
 
-def segments(text: str | None) -> list[str]:
+def words(text: str | None) -> list[str]:
     """The text, with a space before it, in parts that both libraries encode independently."""
-    return SEGMENT.findall(" " + text) if text else []
+    return WORD.findall(" " + text) if text else []
+
+
+class Cuts(dict):
+    """(character, next character) -> whether both libraries always cut between them.
+
+    No merge crosses what no token holds side by side. Apostrophes are left out:
+    what the first library splits there depends on what stands before.
+    """
+
+    def __init__(self, tokens: list[bytes], pieces: list[str]) -> None:
+        super().__init__()
+        self.bytes = {x[i : i + 2] for x in tokens for i in range(len(x) - 1)}
+        self.letters = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+
+    def __missing__(self, pair: tuple[str, str]) -> bool:
+        x, y = pair
+        plain = not (x.isspace() or y.isspace() or "'" in pair)
+        self[pair] = found = plain and x + y not in self.letters and (x.encode()[-1:] + y.encode()[:1]) not in self.bytes
+        return found
+
+    def segments(self, word: str) -> list[str]:
+        out, lo = [], 0
+        for i, pair in enumerate(zip(word, word[1:], strict=False), 1):
+            if self[pair]:
+                out.append(word[lo:i])
+                lo = i
+        out.append(word[lo:])
+        return out
 
 
 class Both:
@@ -80,19 +111,18 @@ class Both:
             raise ValueError(f"piece {wrong[0]!r} crosses segments")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.mark = self.b.piece_to_id(MARK)
+        self.cuts = Cuts(self.a_bytes, [p for i, p in enumerate(pieces) if not self.b.is_byte(i)])
 
-    def encode(self, parts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of both; none where what they give back isn't the segment."""
+    def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         first = [e.ids for e in self.a.encode_batch(parts, add_special_tokens=False)]
-        # The library puts one space before what it gets, but gives nothing for nothing.
-        second = self.b.encode([p[1:] if p[0] == " " else p for p in parts], num_threads=1)
-        out = []
-        for p, a, b in zip(parts, first, second, strict=True):
-            b = [self.mark] if p == " " else b[1:] if p[0] == "\n" else b
-            raw = p.encode()
-            same = b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b])
-            out.append((a, b) if same else ([], []))
-        return out
+        # The library puts one space before what it gets, but gives nothing for nothing; behind a line break it puts none.
+        second = self.b.encode([p[1:] if p[0] == " " else p if p[0] == "\n" else "\n" + p for p in parts], num_threads=1)
+        for k, p in enumerate(parts):
+            if p[0] != " ":
+                second[k] = second[k][1 if p[0] == "\n" else 2 :]
+            elif p == " ":
+                second[k] = [self.mark]
+        return first, second
 
 
 @lru_cache(1)
@@ -101,19 +131,19 @@ def worker_tokens(first: str, second: str) -> Both:
     return Both(first, second)
 
 
-def planes(numbers: list[int]) -> bytes:
+def packed(numbers: list[int]) -> bytes:
     """Numbers as four planes of bytes, of which the upper ones compress well."""
-    return np.array(numbers, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return zlib.compress(np.array(numbers, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def numbers(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 CODED = "part int, sub int, code int, segment string, doc_id long, codes binary"
 
 
-def coded(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def coded(df: DataFrame, doc_id: str = "doc_id", text: str = "text", first: str = FIRST, second: str = SECOND) -> DataFrame:
     """Of every part: its distinct segments with their numbers (``code``), and its documents as numbers (``codes``)."""
     names = [f.split()[0] for f in CODED.split(", ")]
     types = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.binary()]
@@ -124,6 +154,17 @@ def coded(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, sub = TaskContext.get().partitionId(), 0
         known: dict[str, int] = {}
+        in_words: dict[str, list[int]] = {}
+        cuts = worker_tokens(tokenizer_path(first), tokenizer_path(second)).cuts
+
+        def codes_of(text: str | None) -> bytes:
+            out: list[int] = []
+            for w in words(text):
+                got = in_words.get(w)
+                if got is None:
+                    got = in_words[w] = [known.setdefault(s, len(known)) for s in cuts.segments(w)]
+                out += got
+            return packed(out)
 
         def dictionary() -> Iterator[pa.RecordBatch]:
             every = list(known)
@@ -133,12 +174,14 @@ def coded(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
                 yield record(n, part=pa.repeat(pa.scalar(part, pa.int32()), n), sub=pa.repeat(pa.scalar(sub, pa.int32()), n), code=pa.array(range(i, i + n), pa.int32()), segment=pa.array(some, pa.string()))
 
         for batch in slices(batches):
+            if len(in_words) > WORDS:
+                in_words.clear()
             if len(known) > SEGMENTS:
                 yield from dictionary()
                 known.clear()
+                in_words.clear()
                 sub += 1
-            number = known.setdefault
-            codes = [planes([number(s, len(known)) for s in segments(t)]) for t in batch.column(1).to_pylist()]
+            codes = [codes_of(t) for t in batch.column(1).to_pylist()]
             n = batch.num_rows
             yield record(n, part=pa.repeat(pa.scalar(part, pa.int32()), n), sub=pa.repeat(pa.scalar(sub, pa.int32()), n), doc_id=batch.column(0), codes=pa.array(codes, pa.binary()))
         yield from dictionary()
@@ -146,18 +189,38 @@ def coded(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, CODED)
 
 
+def _with_lengths(ids: list[list[int]], table: list[bytes], lengths: np.ndarray, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All ids, their byte lengths, the ids of each segment, and which segments they give back."""
+    many = np.fromiter(map(len, ids), np.int64, len(ids))
+    flat = np.fromiter(chain.from_iterable(ids), np.int32, many.sum())
+    size = lengths[flat]
+    total = np.concatenate([[0], np.cumsum(size)])
+    ends = np.cumsum(many)
+    same = total[ends] - total[ends - many] == np.fromiter(map(len, raw), np.int64, len(raw))
+    if b"".join(map(table.__getitem__, flat.tolist())) != b"".join(raw):
+        same &= np.fromiter((b"".join([table[i] for i in x]) == r for x, r in zip(ids, raw, strict=True)), bool, len(raw))
+    return flat, size, many, same
+
+
 def encoded(distinct: DataFrame, first: str = FIRST, second: str = SECOND) -> DataFrame:
     """``(id, segment, a, a_len, b, b_len)``: ids and byte lengths of both; none where bytes differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = worker_tokens(tokenizer_path(first), tokenizer_path(second))
-        a_len, b_len = [len(x) for x in both.a_bytes], [len(x) for x in both.b_bytes]
+        tables = [(t, np.fromiter(map(len, t), np.int32, len(t))) for t in (both.a_bytes, both.b_bytes)]
         at = TaskContext.get().partitionId() << 33
         for batch in slices(batches, BATCH):
-            got = both.encode(batch.column(0).to_pylist())
-            of = lambda lists: pa.array(lists, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(range(at, at + len(got)), pa.int64()), batch.column(0), of([a for a, _ in got]), of([[a_len[i] for i in a] for a, _ in got]), of([b for _, b in got]), of([[b_len[i] for i in b] for _, b in got])], ["id", "segment", "a", "a_len", "b", "b_len"])
-            at += len(got)
+            parts = batch.column(0).to_pylist()
+            raw = [p.encode() for p in parts]
+            sides = [_with_lengths(ids, *t, raw) for ids, t in zip(both.encode(parts), tables, strict=True)]
+            same = sides[0][3] & sides[1][3]
+            cols = []
+            for flat, size, many, _ in sides:
+                keep = np.repeat(same, many)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(same, many, 0))]), pa.int32())
+                cols += [pa.ListArray.from_arrays(offsets, pa.array(x[keep], pa.int32())) for x in (flat, size)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(at, at + len(parts)), pa.int64()), batch.column(0), *cols], ["id", "segment", "a", "a_len", "b", "b_len"])
+            at += len(parts)
 
     return distinct.mapInArrow(run, "id long, segment string, a array<int>, a_len array<int>, b array<int>, b_len array<int>")
 
@@ -302,17 +365,20 @@ def align(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", first: s
     """
     spark = df.sparkSession
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    codes = stored(coded(df, doc_id, text), "coded-texts")
+    codes = stored(coded(df, doc_id, text, first, second), "coded-texts")
     n_parts = (codes.agg(F.max("part")).first()[0] or 0) + 1
     own = codes.where("segment IS NOT NULL").select("part", "sub", "code", "segment")
     segs = stored(encoded(own.select("segment").distinct(), first, second), "segments")
+    release()
     own = stored(own.join(segs.select("segment", "id").hint("merge"), "segment").drop("segment"), "part-segments")
+    release()
     with dealt_by_part_of_keys(spark):
         links = stored(aligned(segs, 2 * width), "links")
     release(segs)
 
     mine = own.join(links.select("id", "links").hint("merge"), "id", "left")
     counts = stored(pair_counts(parts_with(codes, mine, n_parts)), "pair-counts").withColumn("a", F.expr(f"link div {IDS}"))
+    release()
     most = counts.groupBy("a").agg(F.max("n").alias("most"))
     counts = counts.join(most.hint("merge"), "a").select("link", "n", (F.col("n") == F.col("most")).cast("long").alias("best"))
     each = links.select("id", F.explode("links").alias("link")).join(counts.hint("merge"), "link")

@@ -41,13 +41,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def release(*frames: DataFrame) -> None:
     """Deletes stored tables that nothing will read again, and lets Spark drop the shuffles of finished jobs."""
+    spark = SparkSession.active()
     for df in frames:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
-    if frames:
-        jvm.System.gc()  # shuffles go with the plans that made them
+    spark._jvm.System.gc()  # shuffles go with the plans that made them
 
 
 #: Rows up to which a table of ids, hashes or short strings may be broadcast: some 30 MB.
