@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +35,9 @@ def hamming_self_join(df: DataFrame, value: Column | str, *, d: int, bits: int |
 
     mode "set": distinct values, ``(l, r, dist)`` with ``l < r``. mode "bag":
     rows told apart by ``id``, ``(l, r, lid, rid, dist)``, equal values included.
-    strategy: a name of STRATEGIES, or "auto" (counts the points once to choose).
+    strategy: a name of STRATEGIES, or "auto" (measures the points to choose).
     bits: the universe; None: as many as the largest value needs (one aggregate).
-    Further options go to Spec: grid, seed, anchors, complement, reducers, join_hint.
+    Further options go to Spec: grid, residue, chunks, bucket, seed, anchors, complement, reducers, join_hint.
     """
     if mode not in ("set", "bag"):
         raise ValueError("mode is 'set' or 'bag'")
@@ -46,7 +48,8 @@ def hamming_self_join(df: DataFrame, value: Column | str, *, d: int, bits: int |
     points = points_of(df, value, bits=bits, id=id if spec.bag else None)
     points = points if spec.bag else points.distinct()
     if strategy == "auto":
-        strategy = planner.choose(points.count(), d, bits)
+        strategy, chosen = planner.choose(planner.measure(points, d, bits), d, bits)
+        spec = replace(spec, **{k: v for k, v in chosen.items() if k not in options})
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy is 'auto' or one of {', '.join(STRATEGIES)}")
     return STRATEGIES[strategy][1](points, spec)
@@ -54,4 +57,4 @@ def hamming_self_join(df: DataFrame, value: Column | str, *, d: int, bits: int |
 
 def explain_cost(n: int, d: int, bits: int, grid: int = 8) -> dict[str, dict[str, float]]:
     """Estimated rows shipped, candidate pairs and cost of each strategy."""
-    return {s: planner.estimate(s, n, d, bits, grid) for s in STRATEGIES}
+    return {s: planner.estimate(s, planner.Stats.even(n, d, bits), d, bits, grid) for s in STRATEGIES}

@@ -7,7 +7,7 @@ unsigned order and keeps every bit operation inside whole-stage codegen.
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
+from math import comb, log2
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,6 +67,24 @@ def masks(bits: int, radius: int, lowest: int = 1) -> list[int]:
     return out
 
 
+def unranked(rank: Column, weight: Column, bits: int) -> Column:
+    """The mask of that weight with that many smaller ones (combinatorial number system): from the top, bit c is set if C(c, weight left) masks fit below."""
+    below = F.array(*[F.lit(comb(c, k)).cast("bigint") for c in range(bits) for k in range(bits + 1)])
+
+    def step(acc: Column, c: Column) -> Column:
+        fit = F.get(below, c * (bits + 1) + acc["left"])
+        taken = (acc["left"] > 0) & (acc["rank"] >= fit)
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), c)
+        return F.struct(
+            F.when(taken, acc["rank"] - fit).otherwise(acc["rank"]).alias("rank"),
+            F.when(taken, acc["left"] - 1).otherwise(acc["left"]).alias("left"),
+            F.when(taken, acc["mask"].bitwiseOR(bit)).otherwise(acc["mask"]).alias("mask"),
+        )
+
+    start = F.struct(rank.cast("bigint").alias("rank"), weight.cast("int").alias("left"), F.lit(0).cast("bigint").alias("mask"))
+    return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step)["mask"]
+
+
 def chunk_masks(bits: int, parts: int) -> list[int]:
     """Masks of ``parts`` contiguous chunks from the top; widths differ by one at most."""
     parts = max(1, min(parts, bits))
@@ -79,6 +97,23 @@ def chunk_masks(bits: int, parts: int) -> list[int]:
     return out
 
 
+def entropy(share: float) -> float:
+    """Bits that a bit tells which is set in that share of the strings."""
+    return -sum(p * log2(p) for p in (share, 1 - share) if p > 0)
+
+
+def dealt_chunks(shares: list[float], parts: int) -> list[int]:
+    """Masks of ``parts`` chunks that tell about equally much: bits by falling entropy, each to the chunk that has least."""
+    parts = max(1, min(parts, len(shares)))
+    told, out = [0.0] * parts, [0] * parts
+    order = sorted(range(len(shares)), key=lambda i: (-entropy(shares[i]), -i))
+    for k, i in enumerate(order):
+        j = k if k < parts else min(range(parts), key=lambda c: (told[c], c))
+        told[j] += entropy(shares[i])
+        out[j] |= 1 << i
+    return out
+
+
 def first_equal_chunk(xor: Column, layout: list[int]) -> Column:
     """Index of the first chunk in which two strings agree, from their XOR; null if none."""
     found = None

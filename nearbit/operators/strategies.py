@@ -17,34 +17,59 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from nearbit.functions import bits as B
 from nearbit.operators import anchors as A
-from nearbit.operators.anchors import AnchorSet, with_masks
+from nearbit.operators import balls, cells
+from nearbit.operators.anchors import AnchorSet
+from nearbit.sources.scratch import kept
+
+
+class Counters:
+    """Counts what one run of a join ships, looks at and finds, while it runs."""
+
+    def __init__(self) -> None:
+        self._seen = {name: Observation() for name in ("shipped", "candidates", "pairs")}
+
+    def watch(self, df: DataFrame, name: str) -> DataFrame:
+        return df.observe(self._seen[name], F.count(F.lit(1)).alias("n"))
+
+    def counts(self) -> dict[str, int]:
+        """After the run; waits for its end."""
+        return {name: seen.get["n"] for name, seen in self._seen.items()}
 
 
 @dataclass(frozen=True)
 class Spec:
     """What to join: distance ``d`` over strings of ``bits`` bits.
 
-    ``grid``: cells per side of the triangular grid. ``anchors``: a DataFrame
-    with a column ``c``, or None for a seeded draw; ``complement``: it holds
-    what is no anchor. ``reducers``: partitions that the joins' keys are dealt
+    ``grid``: bands per side of the triangular grid; ``residue``: bands by the
+    value's residue instead of a hash of the row. ``chunks``: masks of the
+    chunks of ``split``, d + 1 that share the bits; None: runs of bits.
+    ``bucket``: rows beyond which a chunk's bucket is cut into cells.
+    ``anchors``: a DataFrame with a column ``c``, or None for a seeded draw;
+    ``complement``: it holds what is no anchor. ``reducers``: partitions that the joins' keys are dealt
     to (Spark raises it to spark.sql.shuffle.partitions); None leaves it to Spark. ``join_hint``: physical hint for the joins of
     expanded sides; None means sort-merge, in which Spark splits hot keys.
+    ``counters``: what one run ships (of one side), looks at and finds; for
+    strategies that join signatures, a run each.
     """
 
     d: int
     bits: int = 32
     bag: bool = False
     grid: int = 8
+    residue: bool = False
+    chunks: tuple[int, ...] | None = None
+    bucket: int = 4_000
     seed: int = 17
     anchors: DataFrame | None = field(default=None, compare=False)
     complement: bool = False
     reducers: int | None = None
     join_hint: str | None = None
+    counters: Counters | None = field(default=None, compare=False)
 
     def __post_init__(self) -> None:
         if not 1 <= self.bits <= B.WORD:
@@ -53,6 +78,10 @@ class Spec:
             raise ValueError("d must be 0 or more")
         if self.grid < 1:
             raise ValueError("grid must be 1 or more")
+        if self.bucket < 1:
+            raise ValueError("bucket must be 1 or more")
+        if self.chunks is not None and (len(self.chunks) < min(self.reach + 1, self.bits) or sum(self.chunks) != (1 << self.bits) - 1 or any(a & b for i, a in enumerate(self.chunks) for b in self.chunks[:i])):
+            raise ValueError("chunks must share the bits, d + 1 of them")
         if self.reducers is not None and self.reducers < 1:
             raise ValueError("reducers must be 1 or more")
 
@@ -80,14 +109,17 @@ def _close(spec: Spec) -> Column:
 
 def _out(df: DataFrame, spec: Spec) -> DataFrame:
     ids = ["lid", "rid"] if spec.bag else []
-    return df.select("l", "r", *ids, B.distance(F.col("l"), F.col("r")).alias("dist"))
+    out = df.select("l", "r", *ids, B.distance(F.col("l"), F.col("r")).alias("dist"))
+    return spec.counters.watch(out, "pairs") if spec.counters else out
 
 
 def _meet(left: DataFrame, right: DataFrame, keys: list[str], spec: Spec) -> DataFrame:
     """The join of expanded sides. They carry a hint, since Catalyst does not see that explode multiplies rows."""
     if spec.reducers:
         left, right = (df.repartition(spec.reducers, *keys) for df in (left, right))
-    return left.join(right.hint(spec.join_hint or "merge"), keys)
+    if not spec.counters:
+        return left.join(right.hint(spec.join_hint or "merge"), keys)
+    return spec.counters.watch(spec.counters.watch(left, "shipped").join(right.hint(spec.join_hint or "merge"), keys), "candidates")
 
 
 # Nested loop -----------------------------------------------------------------
@@ -107,41 +139,38 @@ def nested_pairs(points: DataFrame, spec: Spec) -> DataFrame:
 
 def grid_candidates(points: DataFrame, spec: Spec) -> DataFrame:
     """``grid`` copies of each point: one for each cell of its row and column."""
-    g = spec.grid
-    cell = points.withColumn("h", F.pmod(F.col("v"), F.lit(g)).cast("int"))
-    cell = cell.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(g - 1))))
-    return cell.select(*points.columns, F.least("h", "j").alias("lo"), F.greatest("h", "j").alias("hi"), (F.col("h") <= F.col("j")).alias("row"), (F.col("h") >= F.col("j")).alias("column"))
+    ids = ["id"] if spec.bag else []
+    band = F.pmod(F.col("v"), F.lit(spec.grid)) if spec.residue else cells.dealt(points, ids, spec.grid)
+    return cells.in_cells(points, band, F.lit(spec.grid))
 
 
 def grid_cell_id() -> Column:
     return (F.col("hi") * (F.col("hi") + 1) / 2 + F.col("lo")).cast("int")
 
 
-def grid_pairs(points: DataFrame, spec: Spec) -> DataFrame:
-    """A pair of buckets meets in one cell; ``l`` comes from the row side, then is put in order."""
-    got = grid_candidates(points, spec)
+def _pairs_in_cells(got: DataFrame, keys: list[str], spec: Spec, also: Column | None = None) -> DataFrame:
+    """Two bands meet in one cell; ``l`` comes from the row side, then is put in order. ``also``: a condition on ``l`` and ``r``."""
     ids = ["id"] if spec.bag else []
-    a = got.where("row").select("lo", "hi", F.col("v").alias("a"), *[F.col(i).alias("aid") for i in ids])
-    b = got.where("column").select("lo", "hi", F.col("v").alias("b"), *[F.col(i).alias("bid") for i in ids])
-    a_first, off = F.col("a") < F.col("b"), F.col("lo") < F.col("hi")
-    keep = off | a_first
+    a = got.where("row").select(*keys, F.col("v").alias("l"), *[F.col(i).alias("lid") for i in ids])
+    b = got.where("column").select(*keys, F.col("v").alias("r"), *[F.col(i).alias("rid") for i in ids])
+    in_order = _ordered(spec)
+    joined = _meet(a, b, keys, spec).where(((F.col("lo") < F.col("hi")) | in_order) & _close(spec))
+    joined = joined if also is None else joined.where(also)
+    cols = [F.least("l", "r").alias("l"), F.greatest("l", "r").alias("r")]
     if spec.bag:
-        keep = keep | ((F.col("a") == F.col("b")) & (F.col("aid") < F.col("bid")))
-    near = B.distance(F.col("a"), F.col("b")) <= spec.reach
-    joined = _meet(a, b, ["lo", "hi"], spec).where(keep & near)
-    cols = [F.least("a", "b").alias("l"), F.greatest("a", "b").alias("r")]
-    if spec.bag:
-        in_order = a_first | ((F.col("a") == F.col("b")) & (F.col("aid") < F.col("bid")))
-        cols += [F.when(in_order, F.col("aid")).otherwise(F.col("bid")).alias("lid"), F.when(in_order, F.col("bid")).otherwise(F.col("aid")).alias("rid")]
+        cols += [F.when(in_order, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("lid", "rid"), ("rid", "lid"))]
     return _out(joined.select(*cols), spec)
 
 
+def grid_pairs(points: DataFrame, spec: Spec) -> DataFrame:
+    return _pairs_in_cells(grid_candidates(points, spec), ["lo", "hi"], spec)
+
+
 # Half-radius balls -----------------------------------------------------------
 
 
 def ball_half_candidates(points: DataFrame, spec: Spec) -> DataFrame:
-    found = B.masks(spec.bits, ceil(spec.reach / 2), lowest=0)
-    return with_masks(points, found).withColumn("centre", F.col("v").bitwiseXOR(F.col("mask"))).drop("mask")
+    return balls.neighbours(points, spec.bits, ceil(spec.reach / 2), 0, name="centre")
 
 
 def ball_half_pairs(points: DataFrame, spec: Spec) -> DataFrame:
@@ -166,20 +195,17 @@ def ball_half_pairs(points: DataFrame, spec: Spec) -> DataFrame:
 def ball_full_candidates(points: DataFrame, spec: Spec) -> DataFrame:
     """Each point itself, and its smaller neighbours within ``d`` under the point's value."""
     itself = points.select(*points.columns, F.col("v").alias("centre"))
-    found = B.masks(spec.bits, spec.reach)
-    if not found:
+    if not spec.reach:
         return itself
-    around = with_masks(points, found).withColumn("centre", F.col("v").bitwiseXOR(F.col("mask"))).drop("mask")
-    return itself.unionByName(around.where("centre < v"))
+    return itself.unionByName(balls.neighbours(points, spec.bits, spec.reach, name="centre").where("centre < v"))
 
 
 def ball_full_pairs(points: DataFrame, spec: Spec) -> DataFrame:
     """One side expands downwards and meets the data in an equi-join: the match itself proves the distance."""
-    found = B.masks(spec.bits, spec.reach, lowest=0 if spec.bag else 1)
     left, right = _sides(points, spec)
-    if not found:
+    if not spec.reach and not spec.bag:
         return _out(left.join(right, F.lit(False)), spec)
-    around = with_masks(right, found).withColumn("l", F.col("r").bitwiseXOR(F.col("mask"))).drop("mask").where("l <= r" if spec.bag else "l < r")
+    around = balls.neighbours(right, spec.bits, spec.reach, 0 if spec.bag else 1, value="r", name="l").where("l <= r" if spec.bag else "l < r")
     return _out(_meet(left, around, ["l"], spec).where(_ordered(spec)), spec)
 
 
@@ -187,7 +213,7 @@ def ball_full_pairs(points: DataFrame, spec: Spec) -> DataFrame:
 
 
 def _layout(spec: Spec) -> list[int]:
-    return B.chunk_masks(spec.bits, spec.reach + 1)
+    return list(spec.chunks or B.chunk_masks(spec.bits, spec.reach + 1))
 
 
 def split_candidates(points: DataFrame, spec: Spec) -> DataFrame:
@@ -196,11 +222,19 @@ def split_candidates(points: DataFrame, spec: Spec) -> DataFrame:
 
 
 def split_pairs(points: DataFrame, spec: Spec) -> DataFrame:
-    """d + 1 chunks: strings within d agree in one at least; a pair counts at the first of them."""
+    """d + 1 chunks: strings within d agree in one at least; a pair counts at the first of them.
+
+    Buckets are counted. Those of more than ``bucket`` rows are cut into bands
+    that meet pair by pair, so that no key holds more than about twice as many.
+    """
     if spec.reach >= spec.bits:  # more differences than chunks can hold: every pair qualifies
         return nested_pairs(points, spec)
     got = split_candidates(points, spec)
     ids = ["id"] if spec.bag else []
+    if cells.heavy_buckets(got, ["j", "k"], spec.bucket).limit(1).count():
+        in_bands = cells.split_buckets(got, ["j", "k"], ids, spec.bucket)
+        first = B.first_equal_chunk(F.col("l").bitwiseXOR(F.col("r")), _layout(spec)) == F.col("j")
+        return _pairs_in_cells(in_bands, ["j", "k", "lo", "hi"], spec, first)
     left = got.select("j", "k", F.col("v").alias("l"), *[F.col(i).alias("lid") for i in ids])
     right = got.select("j", "k", F.col("v").alias("r"), *[F.col(i).alias("rid") for i in ids])
     first = B.first_equal_chunk(F.col("l").bitwiseXOR(F.col("r")), _layout(spec)) == F.col("j")
@@ -210,54 +244,53 @@ def split_pairs(points: DataFrame, spec: Spec) -> DataFrame:
 # Anchor points ---------------------------------------------------------------
 
 
-def _anchor_set(points: DataFrame, spec: Spec) -> tuple[AnchorSet, str]:
-    """The given or drawn anchors, and how to find those near a point."""
+def _anchor_set(points: DataFrame, spec: Spec) -> AnchorSet:
+    """The given or drawn anchors."""
     if spec.anchors is None:
-        return A.drawn(points.sparkSession, spec.bits, spec.d, spec.seed), A.sizing(spec.bits, spec.d)["mode"]
-    given = AnchorSet(spec.anchors.select("c").distinct(), spec.complement)
-    # Only a set that was counted is scanned.
-    return given, "expand" if spec.complement else A.mode(given.table.limit(A.SCAN_LIMIT + 1).count(), spec.bits, spec.d)
+        return A.drawn(points.sparkSession, spec.bits, spec.d, spec.seed)
+    return AnchorSet(spec.anchors.select("c").distinct(), spec.complement)
 
 
 def homes(points: DataFrame, spec: Spec) -> DataFrame:
     """``(l, c)``: each distinct value's nearest anchor within ``d``, ties to the smaller; what no anchor covers is its own."""
     values = points.select("v").distinct()
-    if spec.anchors is None and A.sizing(spec.bits, spec.d)["anchors"] == 1 << spec.bits:  # every string is an anchor
-        return values.select(F.col("v").alias("l"), F.col("v").alias("c"))
-    given, how = _anchor_set(points, spec)
+    if spec.anchors is None and A.sizing(spec.bits, spec.d)["anchors"] == 1 << spec.bits:  # a draw from the universe would be all of it
+        if not spec.reach:
+            return values.select(F.col("v").alias("l"), F.col("v").alias("c"))
+        given = AnchorSet(A.covering(values, spec.bits, spec.reach, spec.seed))
+    else:
+        given = _anchor_set(points, spec)
+    how = A.way(given, values, spec.bits, spec.reach)
     got = A.near(values, given, spec.bits, spec.reach, how).groupBy("v").agg(A.nearest().alias("m"))
     return values.join(got.hint("merge"), "v", "left").select(F.col("v").alias("l"), F.coalesce("m.c", "v").alias("c"))
 
 
 def anchor_candidates(points: DataFrame, spec: Spec) -> DataFrame:
     """Each point once for every anchor within ``2d``, uncovered points among the anchors."""
-    given, how = _anchor_set(points, spec)
-    values = points.select("v").distinct()
-    covered = A.near(values, given, spec.bits, spec.reach, how).select("v").distinct()
-    bare = values.join(covered.hint("merge"), "v", "left_anti")
+    given, values = _anchor_set(points, spec), points.select("v").distinct()
+    covered = A.near(values, given, spec.bits, spec.reach, A.way(given, values, spec.bits, spec.reach)).select("v").distinct()
+    bare = AnchorSet(values.join(covered.hint("merge"), "v", "left_anti").select(F.col("v").alias("c")))
     reach = min(2 * spec.reach, spec.bits)
-    near_given = A.near(points, given, spec.bits, reach, how)
-    near_bare = A.near(points, AnchorSet(bare.select(F.col("v").alias("c"))), spec.bits, reach, "expand")
+    near_given, near_bare = (A.near(points, s, spec.bits, reach, A.way(s, points, spec.bits, reach)) for s in (given, bare))
     return near_given.unionByName(near_bare).select(*points.columns, "c")
 
 
-def anchor_home(points: DataFrame, anchors: DataFrame, *, bits: int = B.WORD, d: int | None = None) -> DataFrame:
+def anchor_home(points: DataFrame, anchors: DataFrame, *, bits: int = B.WORD, d: int | None = None, scan: bool | None = None) -> DataFrame:
     """Nearest anchor of each distinct value, ``(v, home, dist)``; ties go to the smaller anchor.
 
     With ``d``, anchors farther away do not count and values without one are
-    left out. Few anchors, by a count, are scanned; of more, each ball of
-    growing radius is looked up for those values that have none yet.
+    left out. Few anchors, by a count, are scanned if that is less than the
+    ball of ``d``; else each distance from 0 on is looked up for those values
+    that have none yet. ``scan`` decides instead of the count.
     """
     given, values = AnchorSet(anchors.select("c").distinct()), points.select("v").distinct()
     reach = bits if d is None else min(d, bits)
-    if given.table.limit(A.SCAN_LIMIT + 1).count() <= A.SCAN_LIMIT:
-        # Anchors as one array that every row gets: an inner loop for each value, no pairs.
-        held = given.table.agg(F.array_sort(F.collect_list("c")).alias("all"))
-        best = F.array_min(F.transform("all", lambda c: F.struct(B.distance(F.col("v"), c).alias("far"), c.alias("c"))))
-        got = values.crossJoin(F.broadcast(held)).select("v", best.alias("m")).where(F.col("m").isNotNull() & (F.col("m.far") <= reach))
-        return got.select("v", F.col("m.c").alias("home"), F.col("m.far").alias("dist"))
-    found = A.near(values, given, bits, reach, "expand").groupBy("v").agg(A.nearest().alias("m"))
-    return found.select("v", F.col("m.c").alias("home"), F.col("m.far").alias("dist"))
+    size = given.table.limit(A.SCAN_LIMIT + 1).count()
+    if size <= A.SCAN_LIMIT and (size < A.SHIP_COST * (1 + B.ball_size(bits, reach)) if scan is None else scan):
+        best = A.near(values, given, bits, reach, "scan").groupBy("v").agg(A.nearest().alias("m")).select("v", "m.c", "m.far")
+    else:
+        best = A.growing(values, given, bits, reach)
+    return best.select("v", F.col("c").alias("home"), F.col("far").alias("dist"))
 
 
 def anchor_pairs(points: DataFrame, spec: Spec) -> DataFrame:
@@ -266,11 +299,10 @@ def anchor_pairs(points: DataFrame, spec: Spec) -> DataFrame:
     Of the anchors only homes have members, so no others are looked up: at most
     one for each value, however many were drawn.
     """
-    home = homes(points, spec)
+    home = kept(homes(points, spec))
     used = AnchorSet(home.select("c").distinct())
-    small = used.table.limit(A.SCAN_LIMIT + 1).count()
     reach = min(2 * spec.reach, spec.bits)
-    members = A.near(points, used, spec.bits, reach, A.mode(small, spec.bits, spec.reach))
+    members = A.near(points, used, spec.bits, reach, A.way(used, points, spec.bits, reach))
     members = members.select("c", F.col("v").alias("r"), *([F.col("id").alias("rid")] if spec.bag else []))
     if spec.bag:
         home = home.join(points.select(F.col("v").alias("l"), F.col("id").alias("lid")).hint("merge"), "l")

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
@@ -23,3 +23,18 @@ def folder(spark: SparkSession) -> str:
     known = spark._jvm.org.apache.hadoop.fs.Path(path)
     known.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(known)
     return path
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The frame, written and read again: cuts lineage, and a lost executor takes nothing with it."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a kept frame that nothing will read again."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

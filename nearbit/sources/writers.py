@@ -38,3 +38,30 @@ def count_pairs(pairs: DataFrame) -> DataFrame:
 def count_shipped(points: DataFrame, strategy: str, spec: Spec) -> DataFrame:
     """Rows a strategy sends through its exchange (``null-cost``)."""
     return STRATEGIES[strategy][0](points, spec).agg(F.count("*").alias("n_rows"))
+
+
+def exchanged(rows: DataFrame, *keys: str, partitions: int | None = None) -> DataFrame:
+    """``(n_rows, n_bytes)`` that really go through an exchange on ``keys``, by the metrics of the plan that ran.
+
+    The rows are dealt out and thrown away; nothing behind the exchange is computed.
+    """
+    spark = rows.sparkSession
+    dealt = rows.repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
+    run = dealt._jdf.queryExecution()
+    run.toRdd().count()
+    found, waiting = None, [run.executedPlan()]
+    while waiting and found is None:  # from the top, so that the first exchange is the one above
+        node = waiting.pop()
+        name = node.getClass().getSimpleName()
+        if name == "ShuffleExchangeExec":
+            found = node.metrics()
+        elif name == "AdaptiveSparkPlanExec":
+            waiting.append(node.executedPlan())
+        elif hasattr(node, "plan") and name.endswith("QueryStageExec"):
+            waiting.append(node.plan())
+        else:
+            below = node.children()
+            waiting += [below.apply(i) for i in range(below.size())]
+    if found is None:
+        raise RuntimeError("the plan has no exchange")
+    return spark.createDataFrame([(found.apply("shuffleRecordsWritten").value(), found.apply("shuffleBytesWritten").value())], "n_rows long, n_bytes long")

@@ -83,6 +83,8 @@ def test_anchor_ways_agree(spark, monkeypatch):
     first = sorted(tuple(r) for r in anchor_home(points, given, bits=12).collect())
     c = [r.c for r in given.collect()]
     assert first == sorted((v, *min(((v ^ x).bit_count(), x) for x in c)[::-1]) for v in values)
+    met = Counter(tuple(r) for r in anchors.near(points, anchors.AnchorSet(given), 12, 4, "cells").collect())
+    assert scanned == met
     monkeypatch.setattr(anchors, "SCAN_LIMIT", 10)
     assert first == sorted(tuple(r) for r in anchor_home(points, given, bits=12).collect())
     assert anchor_home(points, given.where("false"), bits=12).count() == 0
@@ -173,9 +175,10 @@ def test_bad_arguments(spark):
 
 
 def test_planner():
-    assert planner.choose(100, 2, 32) == "nested_loop"
-    assert planner.choose(10**9, 1, 32) in ("split", "ball_half", "ball_full")
-    assert planner.choose(10**6, 0, 32) == "split"
+    even = planner.Stats.even
+    assert planner.choose(even(100, 2, 32), 2, 32)[0] == "nested_loop"
+    assert planner.choose(even(10**9, 1, 32), 1, 32)[0] in ("split", "ball_half", "ball_full")
+    assert planner.choose(even(10**6, 0, 32), 0, 32)[0] in ("split", "ball_half", "ball_full")
     assert set(explain_cost(1000, 2, 16)) == set(STRATEGIES)
 
 
