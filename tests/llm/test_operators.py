@@ -474,6 +474,50 @@ def test_density_finds_the_text_without_an_article(spark, small):
     assert same >= 0.9 * len(pages) and outside >= 0.9 * len(pages), (same, outside, len(pages))
 
 
+PARAGRAPHS = [
+    "The committee met in the old town hall on Monday to talk about the plans for the new bridge that will cross the river by the end of the year, and it was agreed that work should start.",
+    "There was a long debate about the cost, which has risen by a third since the first plan was made, but most of those who had come said that the bridge is needed.",
+    "In the end the members voted for the plan, and the mayor thanked all of them for their patience and for the work that they had done in the years before.",
+]
+WRAPPERS = ["", 'class="layout has-sidebar"', 'class="content no-comments"', 'class="entry share"', 'class="search-results"', 'class="legal"', 'class="post-with-widget"', 'class="site header-menu"', 'class="page footer-sticky"', 'class="sidebar"', 'class="comments"', 'role="platform"', 'role="research"', 'role="form"', 'id="search"']
+
+
+@pytest.mark.parametrize("attributes", WRAPPERS)
+@pytest.mark.parametrize("tag", ["div", "form", "section", "header"])
+def test_no_name_of_a_wrapper_loses_the_text(attributes, tag):
+    body, want = "".join(f"<p>{p}</p>" for p in PARAGRAPHS), "\n".join(PARAGRAPHS)
+    for page in (f"<{tag} {attributes}>{body}</{tag}>", f"<nav><a href=a>Home</a></nav><{tag} {attributes}><div class=legal>{body}</div></{tag}><footer>All rights reserved by the owner of the site.</footer>", f"<{tag} {attributes}>{body}<div class='ad'><p>{PARAGRAPHS[0][::-1]}</p></div></{tag}>"):
+        assert html_text.main_text(page) == want, page
+
+
+def test_frames_beside_the_text():
+    """Comments longer than the article, adverts, sidebars, forms and headers, with and without an article."""
+    body, want = "".join(f"<p>{p}</p>" for p in PARAGRAPHS), "\n".join(PARAGRAPHS)
+    comments = "".join(f"<div class=comment><p>{p} {p} {p} {p}</p></div>" for p in PARAGRAPHS)
+    for article in ("article", "div"):
+        for frame in (f"<div class=comments>{comments}</div>", f"<div class='x ad'><p>{PARAGRAPHS[1]}</p></div>", f"<div id=sidebar><p>{PARAGRAPHS[2]}</p></div>", f"<form><p>{PARAGRAPHS[1]}</p></form>", f"<header><p>{PARAGRAPHS[1]}</p></header>", f"<div role=complementary><p>{PARAGRAPHS[1]}</p></div>", f"<aside><p>{PARAGRAPHS[1]}</p></aside>"):
+            for page in (f"{frame}<{article}>{body}</{article}>", f"<{article}>{body}</{article}>{frame}"):
+                assert html_text.main_text(page) == want, page
+    short = "<article><h1>Bridge</h1><p>Work begins</article>"
+    assert html_text.main_text(f"<div class=ad><p>{PARAGRAPHS[0]}</p></div>{short}") == "Bridge\nWork begins"
+
+
+def test_unmarked_menus_and_other_scripts():
+    body, want = "".join(f"<p>{p}</p>" for p in PARAGRAPHS), "\n".join(PARAGRAPHS)
+    assert html_text.main_text(f"<div>Home News</div><div>Contact</div>{body}<div>Imprint</div><div>Contact</div>") == want
+    russian = ["Комитет собрался в старой ратуше в понедельник, чтобы обсудить планы нового моста, который пересечёт реку к концу года, и было решено начать работу.", "Состоялись долгие дебаты о стоимости, которая выросла на треть с тех пор, как был составлен первый план, но большинство сказали, что мост нужен."]
+    page = "<div>Главная Новости</div><div>Контакты</div>" + "".join(f"<p>{p}</p>" for p in russian) + "<div>Контакты</div>"
+    assert html_text.main_text(page) == "\n".join(russian)
+
+
+def test_frames_without_end_are_linear():
+    text = PARAGRAPHS[0]
+    for page in ("<div class=ad>" * 30_000 + "x y z " * 2_000, "<div class=ad>x" * 30_000, f"<div class=ad><p>{text}</p>" * 2_000, f"<div class=ad><p>{text}</p></div>" * 2_000, f"<div class=comments><p>{text}</p>" * 2_000):
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 10
+
+
 def test_licenses(spark, odd, none):
     rng = random.Random(9)
     filler = lambda n: " ".join(f"f{rng.randrange(10**6)}" for _ in range(n))
