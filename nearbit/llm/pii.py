@@ -7,9 +7,17 @@ mutual information, ln(p(e | t) / p(e)), as a share of the entity's information,
 -ln p(e). p(e) is a share of all documents; p(e | t) is the share of t's
 documents that mention e, smoothed by ``smooth`` documents that mention e as
 often as any: (together + smooth p(e)) / (df + smooth). So an entity mentioned
-once has giveaways, and a term is the surer the more documents bear it out. At
-``general`` of the information or more the term is generalised to a class, at
-``remove`` it is removed, in all documents that mention the entity.
+once has giveaways, and a term is the surer the more documents bear it out.
+
+That a word is rare doesn't make it a giveaway. ``likely`` is the least p(e | t),
+however large the corpus. And where words that tell as much are usual in the
+entity's documents, as in texts full of rare words or in copies, none of them
+stands out: of an entity's terms, those that tell most count as long as their
+occurrences are no more than ``usual`` of the words of its documents, terms of
+the same level (``LEVELS`` a unit of the share) all or none.
+
+At ``general`` of the information or more such a term is generalised to a class,
+at ``remove`` it is removed, in all documents that mention the entity.
 
 Terms are runs of letters and their marks, of any length. Documents are rows:
 copies count each, in all counts alike, so a copied passage reveals as much.
@@ -45,6 +53,10 @@ WORD = r"\p{L}[\p{L}\p{M}]*+"
 #: Documents of no evidence that every estimate starts from.
 SMOOTH = 1.0
 GENERAL, REMOVE = 0.6, 0.85
+#: Least likelihood of the entity given the term, and the share of words that giveaways may take up.
+LIKELY, USUAL = 0.3, 0.05
+#: Steps in which shares are compared.
+LEVELS = 1_000
 
 #: Matches that are summed in one go.
 RUN = 256
@@ -133,10 +145,15 @@ def with_base(df: DataFrame, text: Column) -> DataFrame:
     return df
 
 
-def _terms(text: Column) -> Column:
-    """Words, lower case, once each; those of addresses are none. The other kinds hold no letters."""
+def _words(text: Column) -> Column:
+    """Words, lower case; those of addresses are none. The other kinds hold no letters."""
     rest = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
-    return F.array_distinct(F.regexp_extract_all(F.lower(rest), F.lit(WORD), F.lit(0)))
+    return F.regexp_extract_all(F.lower(rest), F.lit(WORD), F.lit(0))
+
+
+def _terms(text: Column) -> Column:
+    """Words, once each."""
+    return F.array_distinct(_words(text))
 
 
 def _entities() -> Column:
@@ -144,8 +161,8 @@ def _entities() -> Column:
     return F.array_distinct(F.concat(*[F.transform(f"_{k}", lambda s, k=k: F.concat(F.lit(f"{k}:"), s["value"])) for k in KINDS]))
 
 
-def flagged_terms(mentions: DataFrame, rows: DataFrame, *, smooth: float = SMOOTH, general: float = GENERAL, remove: float = REMOVE) -> DataFrame:
-    """``(_row, entity, term, share, action)`` for each row's terms whose disclosure reaches ``general``.
+def flagged_terms(mentions: DataFrame, rows: DataFrame, *, smooth: float = SMOOTH, general: float = GENERAL, remove: float = REMOVE, likely: float = LIKELY, usual: float = USUAL) -> DataFrame:
+    """``(_row, entity, term, share, action)`` for each row's terms that give an entity of it away.
 
     ``mentions``: ``(_row, _entities, _t)`` of the rows that mention any, ``_row`` unique; ``rows``: all, as ``_t``.
     """
@@ -160,17 +177,25 @@ def flagged_terms(mentions: DataFrame, rows: DataFrame, *, smooth: float = SMOOT
     most = entities.agg(F.max("docs")).first()[0] or 1
     # Even if all its documents mention the commonest entity, a term of more documents reveals too little: nothing that
     # could be flagged is lost, and common words go. Half a document more, for rounding.
-    bound = F.lit(n * (most / n) ** general + 0.5)
+    bound = F.lit(min(n * (most / n) ** general, (most + smooth) / likely) + 0.5)
     # Counted before the join, not after: tasks send a count a word, and no occurrence is joined.
     words = rows.select(F.explode(_terms(F.col("_t"))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") <= bound)
-    rare = mentions.select("_row", F.explode(_terms(F.col("_t"))).alias("term")).join(words.hint("merge"), "term")
-    pairs = stored(rare.join(each.hint("merge"), "_row"), "pairs")
-    counted = pairs.groupBy("entity", "term", "df").agg(F.count("*").alias("together"))
+    said = mentions.select("_row", F.explode(_words(F.col("_t"))).alias("term")).groupBy("_row", "term").agg(F.count("*").alias("times"))
+    pairs = stored(said.join(words.hint("merge"), "term").join(each.hint("merge"), "_row"), "pairs")
+    counted = pairs.groupBy("entity", "term", "df").agg(F.count("*").alias("together"), F.sum("times").alias("times"))
     p = F.col("docs") / n
     given = (F.col("together") + smooth * p) / (F.col("df") + smooth)
-    scored = counted.join(entities.hint("merge"), "entity").withColumn("share", F.log(given / p) / -F.log(p)).where(F.col("share") >= general)
+    scored = counted.join(entities.hint("merge"), "entity").withColumn("share", F.log(given / p) / -F.log(p)).where((F.col("share") >= general) & (given >= likely))
+    scored = stored(scored.withColumn("level", F.floor(F.col("share") * LEVELS)).select("entity", "term", "share", "times", "level"), "scored")
+    # What the terms of a level and above take up of the entity's documents: a row for each entity and level.
+    length = mentions.select("_row", F.size(_words(F.col("_t"))).alias("n_words"))
+    long = each.join(length.hint("merge"), "_row").groupBy("entity").agg(F.sum("n_words").alias("n_words"))
+    above = F.sum("times").over(Window.partitionBy("entity").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0))
+    taken = scored.groupBy("entity", "level").agg(F.sum("times").alias("times")).withColumn("above", above)
+    least = taken.join(long.hint("merge"), "entity").where(F.col("above") <= usual * F.col("n_words")).groupBy("entity").agg(F.min("level").alias("least"))
+    telling = scored.join(least.hint("merge"), "entity").where(F.col("level") >= F.col("least"))
     action = F.when(F.col("share") >= remove, "cut").otherwise("term").alias("action")
-    return pairs.select("_row", "entity", "term").join(scored.select("entity", "term", "share", action).hint("merge"), ["entity", "term"])
+    return pairs.select("_row", "entity", "term").join(telling.select("entity", "term", "share", action).hint("merge"), ["entity", "term"])
 
 
 def _term_spans(mentions: DataFrame, flagged: DataFrame) -> DataFrame:

@@ -363,17 +363,31 @@ def test_giveaway_terms(spark):
     assert clean[300] == rows[-1][1] and all("bob@" not in clean[i] and "Zanzibar" not in clean[i] and "<EMAIL>" in clean[i] for i in range(6))
 
 
-def disclosure_brute(rows, smooth=1.0, general=0.6, remove=0.85):
+def disclosure_brute(rows, smooth=1.0, general=0.6, remove=0.85, likely=0.3, usual=0.05):
     """What becomes of which words of which row."""
     held = []
     for _, text in rows:
         entities = {f"{k}:{m.group()}" for k in pii.KINDS for m in re.finditer(PLAIN[k], text or "") if valid(k, m.group())}
-        held.append((entities, set(re.findall(r"[^\W\d_]+", re.sub(PLAIN["email"], " ", text or "").lower()))))
+        held.append((entities, Counter(re.findall(r"[^\W\d_]+", re.sub(PLAIN["email"], " ", text or "").lower()))))
     n, docs, df = len(rows), Counter(e for es, _ in held for e in es), Counter(t for _, ts in held for t in ts)
-    both, out = Counter((e, t) for es, ts in held for e in es for t in ts), []
+    both, times, size = Counter((e, t) for es, ts in held for e in es for t in ts), Counter(), Counter()
     for es, ts in held:
-        share = lambda e, t: 1 - math.log((both[e, t] + smooth * docs[e] / n) / (df[t] + smooth)) / math.log(docs[e] / n)
-        most = {t: max((share(e, t) for e in es if docs[e] < n), default=0) for t in ts}
+        for e in es:
+            size[e] += sum(ts.values())
+            times.update({(e, t): k for t, k in ts.items()})
+    share = {}
+    for (e, t), k in both.items():
+        given = (k + smooth * docs[e] / n) / (df[t] + smooth)
+        if docs[e] < n and given >= likely and (x := 1 - math.log(given) / math.log(docs[e] / n)) >= general:
+            share[e, t] = x
+    level = {et: math.floor(x * pii.LEVELS + 1e-9) for et, x in share.items()}
+    by = {}
+    for (e, t), lev in level.items():
+        by.setdefault(e, Counter())[lev] += times[e, t]
+    stands_out = {(e, lev) for e, taken in by.items() for lev in taken if sum(k for x, k in taken.items() if x >= lev) <= usual * size[e]}
+    out = []
+    for es, ts in held:
+        most = {t: max((share[e, t] for e in es if (e, t) in share and (e, level[e, t]) in stands_out), default=0) for t in ts}
         out.append({t: "cut" if x >= remove else "term" for t, x in most.items() if x >= general})
     return out
 
@@ -387,7 +401,8 @@ def test_giveaways_of_rare_entities(spark, small):
     found = {r._doc: [(rows[r._doc][1][s.start : s.end], s.kind) for s in r._term] for r in pii.find(df).collect()}
     assert found[0] == [("Li", "cut"), ("李明", "cut")]  # far away, short, mentioned once
     assert found[1] == found[2] == [("call", "cut"), ("Quux", "cut")] and not any(found[i] for i in range(3, 400))
-    for given in (df, documents(spark, small)):
+    mixed = [(i, f"mail x{i % 7}@y.org now {say(rng.randrange(5, 80))} " + " ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(rng.randrange(3)))) for i in range(200)]
+    for given in (df, spark.createDataFrame(mixed, "doc_id long, text string"), documents(spark, small)):
         rows = texts(given)
         want = Counter((key, tuple(sorted((t, a) for t, a in told.items()))) for (key, _), told in zip(rows, disclosure_brute(rows), strict=True))
         text = dict(rows)
@@ -395,6 +410,26 @@ def test_giveaways_of_rare_entities(spark, small):
         assert got == want
 
 
+def test_rare_words_are_no_giveaways(spark, small):
+    """Texts full of rare words, and copies: only what tells more than the usual word is a giveaway, at 1, 2 and 20 mentions."""
+    rng = random.Random(12)
+    fresh = iter(range(10**6))
+    name = lambda: "".join(chr(97 + int(c)) * 2 for c in f"{next(fresh):06d}")
+    text = lambda n: " ".join(name() if rng.random() < 0.3 else rng.choice("the of and to in is was that it for".split()) for _ in range(n))
+    rows = [(i, text(120)) for i in range(600)]
+    rows += [(1000 + i, f"{text(60)} quuxor two@mail.org {text(60)}") for i in range(2)]
+    rows += [(2000 + i, f"{text(60)} vexilla many@mail.org {text(60)}") for i in range(20)]
+    rows += [(3000, f"{text(60)} again zebra write to once@mail.org now please {text(60)}")]
+    copy = f"{text(60)} copied@mail.org {text(60)}"
+    rows += [(4000 + i, copy) for i in range(3)]
+    found = {r._doc: {rows[k][1][s.start : s.end] for s in r._term} for k, r in ((dict((x[0], i) for i, x in enumerate(rows))[r._doc], r) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect())}
+    assert found[1000] == found[1001] == {"quuxor"} and all(found[2000 + i] == {"vexilla"} for i in range(20))
+    assert not found[3000] and not any(found[4000 + i] for i in range(3))
+    plain = [(i, " ".join(rng.choices("the of and to in is was that it for".split(), k=100))) for i in range(300)] + [(900, "the of and to " * 20 + " xylo solo@mail.org")]
+    found = {r._doc: r._term for r in pii.find(spark.createDataFrame(plain, "doc_id long, text string")).collect()}
+    assert [plain[-1][1][s.start : s.end] for s in found[900]] == ["xylo"]
+
+
 def test_query_digests(spark, small):
     got = {r.doc_id: r for r in queries.op10_pii(spark, small).collect()}
     for key, text in texts(documents(spark, small)):
