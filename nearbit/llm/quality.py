@@ -3,10 +3,11 @@
 Words and word pairs of every text are hashed into ``buckets`` counters, once
 for the trusted documents (the target) and once for the whole corpus. A text's
 score is the mean over its grams of log p_target / p_corpus. Documents are dealt
-to ``FOLDS`` folds by a hash of id and text, and each is scored with the counts
-of the other folds only: what a document says itself, and whether it is trusted,
-has no part in its own score. A document stays if it passes the base rules and
-its score reaches ``threshold``.
+to ``FOLDS`` folds by the least hash of their word pairs, and each is scored with
+the counts of the other folds only: what a document says itself, and whether it
+is trusted, has no part in its own score. Copies lie in one fold, whatever their
+ids, and so do near copies unless they differ in just that pair. A document
+stays if it passes the base rules and its score reaches ``threshold``.
 
 Column expressions only: no Python on the executors. What is shuffled is
 counters, ``FOLDS`` times ``buckets`` of them a task at most, and beyond
@@ -29,7 +30,9 @@ from nearbit.llm.common import BROADCAST_ROWS, barrier, bitmap, has_bit, next_to
 #: Counters, a power of two.
 BUCKETS = 65_536
 #: Parts of the corpus that are left out in turn.
-FOLDS = 2
+FOLDS = 4
+#: Ratios are whole numbers of thousandths, which keeps their literal small; a score is off by 0.0005 at most.
+UNIT = 1_000
 #: Longs of the bitmap of trusted ids: 8 MB, for lists that are too long to broadcast.
 ID_BITMAP = 1 << 20
 #: Counts added to each bucket, dealt to target and corpus in the ratio of their sizes.
@@ -70,13 +73,14 @@ def bucket_of(h: Column, buckets: int) -> Column:
     return F.shiftrightunsigned(h, 65 - buckets.bit_length()).cast("int")
 
 
-def fold_of(doc_id: str, text: str) -> Column:
-    return F.pmod(F.xxhash64(F.lit("fold"), doc_id, text), F.lit(FOLDS)).cast("int")
+def fold_of(h1: str, h2: str) -> Column:
+    """By the least pair hash, of single words by theirs; texts without words, which have no grams, are in one fold."""
+    return F.pmod(F.xxhash64(F.lit("fold"), F.coalesce(F.array_min(h2), F.array_min(h1))), F.lit(FOLDS)).cast("int")
 
 
 def _counts(df: DataFrame, text: str, buckets: int) -> DataFrame:
     """``(b, n)``: counters of the folds one after the other."""
-    grams = _hashes(df.select("_fold", F.col(text)), text)
+    grams = barrier(_hashes(df.select(F.col(text)), text), _fold=fold_of("_h1", "_h2"))
     grams = grams.select("_fold", F.explode(F.concat("_h1", "_h2")).alias("_h"))
     return grams.groupBy((F.col("_fold") * buckets + bucket_of(F.col("_h"), buckets)).alias("b")).agg(F.count("*").alias("n"))
 
@@ -90,13 +94,13 @@ def _among(df: DataFrame, good: DataFrame) -> DataFrame:
 
 
 def log_ratios(df: DataFrame, good: DataFrame, doc_id: str, text: str, buckets: int) -> Column:
-    """The log ratio of each bucket without fold 0, without fold 1 and so on, as one array literal (its size bounds what the driver holds)."""
-    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), fold_of(doc_id, text).alias("_fold"))
+    """The log ratio of each bucket, in thousandths, without fold 0, without fold 1 and so on, as one array literal (its size bounds what the driver holds)."""
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     raw, own = [0] * (FOLDS * buckets), [0] * (FOLDS * buckets)
     for into, frame in ((raw, rows), (own, _among(rows, good))):
         for row in _counts(frame, "text", buckets).collect():  # at most one row a counter
             into[row.b] = row.n
-    out = [0.0] * (FOLDS * buckets)
+    out = [0] * (FOLDS * buckets)
     all_raw, all_own = ([sum(x[b::buckets]) for b in range(buckets)] for x in (raw, own))
     for k in range(FOLDS):
         at = range(k * buckets, (k + 1) * buckets)
@@ -104,9 +108,8 @@ def log_ratios(df: DataFrame, good: DataFrame, doc_id: str, text: str, buckets:
         if n_own:  # without a target nothing is said
             share = n_own / n_raw
             for b, i in enumerate(at):
-                # Six decimals, which keeps the literal small.
-                out[i] = round(math.log((all_own[b] - own[i] + SMOOTH * share) / ((all_raw[b] - raw[i] + SMOOTH) * share)), 6)
-    return F.split(F.lit(",".join(map(repr, out))), ",").cast("array<double>")  # folds into one literal
+                out[i] = round(UNIT * math.log((all_own[b] - own[i] + SMOOTH * share) / ((all_raw[b] - raw[i] + SMOOTH) * share)))
+    return F.split(F.lit(",".join(map(str, out))), ",").cast("array<int>")  # folds into one literal
 
 
 def with_repeats(df: DataFrame, windows: str, n_window: int) -> DataFrame:
@@ -143,11 +146,12 @@ def annotate(df: DataFrame, *, trusted: DataFrame, doc_id: str = "doc_id", text:
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     rows = barrier(rows, _lines=F.when(F.contains(t, F.lit("\n")), lines).otherwise(F.array().cast("array<string>")), n_symbols=n_among(t, "#*$%&|<>").cast("bigint"))
     # What is read off the text comes first: later steps then carry the hashes only.
-    rows = barrier(rows, _from=fold_of(doc_id, text) * buckets, _w=words_of(F.col(text)), n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint")).drop("_lines")
+    rows = barrier(rows, _w=words_of(F.col(text)), n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint")).drop("_lines")
     rows = barrier(rows, _h1=F.transform("_w", lambda w: F.xxhash64(w)), word_chars=F.length(F.array_join("_w", "")).cast("bigint")).drop("_w")
     rows = barrier(rows, _h2=pairs(F.col("_h1"), 1))
-    total = sum(F.aggregate(h, F.lit(0.0), lambda acc, h: acc + F.get(ratios, F.col("_from") + bucket_of(h, buckets))) for h in ("_h1", "_h2"))
-    rows = barrier(rows, n_words=F.size("_h1").cast("bigint"), llr=total / F.greatest(F.size("_h1") + F.size("_h2"), F.lit(1)), _h4=pairs(F.col("_h2"), 2)).drop("_h1", "_h2")
+    rows = barrier(rows, _from=fold_of("_h1", "_h2") * buckets)
+    total = sum(F.aggregate(h, F.lit(0).cast("bigint"), lambda acc, h: acc + F.get(ratios, F.col("_from") + bucket_of(h, buckets))) for h in ("_h1", "_h2"))
+    rows = barrier(rows, n_words=F.size("_h1").cast("bigint"), llr=total / (UNIT * F.greatest(F.size("_h1") + F.size("_h2"), F.lit(1))), _h4=pairs(F.col("_h2"), 2)).drop("_h1", "_h2")
     rows = with_repeats(barrier(rows, _h8=pairs(F.col("_h4"), 4)).drop("_h4"), "_h8", WINDOW).withColumnRenamed("_repeats", "n_repeat_words")
     rows = rows.select(*back, *made[:5], "llr")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))

@@ -68,10 +68,10 @@ def llr_brute(rows, good, buckets):
     grams, folds, raw, own = [], [], Counter(), Counter()
     for key, text in rows:
         h = [of_text(w) for w in WORD.findall(text or "")]
-        grams.append([x >> (65 - buckets.bit_length()) for x in [*h, *(of_long(b, of_long(a)) for a, b in zip(h, h[1:]))]])
+        two = [of_long(b, of_long(a)) for a, b in zip(h, h[1:])]
+        grams.append([x >> (65 - buckets.bit_length()) for x in [*h, *two]])
         at = of_text("fold")
-        at = at if key is None else of_long(key, at)
-        folds.append(signed(at if text is None else of_text(text, at)) % quality.FOLDS)
+        folds.append(signed(of_long(min(two or h, key=signed), at) if h else at) % quality.FOLDS)
         for into in (raw, own) if key in good else (raw,):
             into.update((folds[-1], b) for b in grams[-1])
     out = []
@@ -82,7 +82,7 @@ def llr_brute(rows, good, buckets):
                 into[b] += n * (f != fold)
         n_raw, n_own = sum(less[0].values()), sum(less[1].values())
         share = n_own / n_raw if n_raw else 0
-        out.append(sum(round(math.log((less[1][b] + quality.SMOOTH * share) / ((less[0][b] + quality.SMOOTH) * share)), 6) for b in found) / max(1, len(found)) if n_own else 0.0)
+        out.append(sum(round(quality.UNIT * math.log((less[1][b] + quality.SMOOTH * share) / ((less[0][b] + quality.SMOOTH) * share))) for b in found) / quality.UNIT / max(1, len(found)) if n_own else 0.0)
     return out
 
 
@@ -98,6 +98,16 @@ def test_quality_ratios(spark, small, odd, monkeypatch):
     assert got() == want
 
 
+def test_copies_say_nothing_for_one_another(spark, small):
+    """A document's score is the same whether its copies, under whatever ids, are trusted or not."""
+    some = [tuple(r) for r in documents(spark, small).limit(80).select("doc_id", "text").collect()]
+    rows = some + [(10_000 + i, some[3][1]) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    base = [(i, 1, 0) for i, _ in some[10:60]]
+    score = lambda marks: {r.doc_id: r.llr for r in quality.annotate(df, trusted=labels(spark, marks)).where("doc_id >= 10000 or doc_id = " + str(some[3][0])).collect()}
+    assert score(base) == score(base + [(10_000 + i, 1, 0) for i in range(6)]) == score(base + [(some[3][0], 1, 0)])
+
+
 def test_quality_parts_junk_from_prose(spark, small):
     got = queries.op2_quality_rules(spark, small).join(table(spark, small, "labels"), "doc_id").where("not base_failed").groupBy("quality", "kept").count().collect()
     n = {(r.quality, r.kept): r["count"] for r in got}
