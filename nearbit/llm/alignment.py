@@ -48,7 +48,7 @@ from nearbit.llm.packing import BYTE_LETTERS, tokenizer_path
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Distinct segments that a task numbers before it starts anew, and words whose segments it remembers meanwhile.
-SEGMENTS, WORDS = 1_000_000, 200_000
+SEGMENTS, WORDS = 1_000_000, 100_000
 #: Segments that are encoded at a time.
 BATCH = 4_096
 #: A pair of ids is one number: the first's times this, plus the second's.
@@ -365,25 +365,25 @@ def align(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", first: s
     """
     spark = df.sparkSession
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    codes = stored(coded(df, doc_id, text, first, second), "coded-texts")
+    codes = stored(coded(df, doc_id, text, first, second), "coded-texts", "zstd")
     n_parts = (codes.agg(F.max("part")).first()[0] or 0) + 1
     own = codes.where("segment IS NOT NULL").select("part", "sub", "code", "segment")
-    segs = stored(encoded(own.select("segment").distinct(), first, second), "segments")
+    segs = stored(encoded(own.select("segment").distinct(), first, second), "segments", "zstd")
     release()
-    own = stored(own.join(segs.select("segment", "id").hint("merge"), "segment").drop("segment"), "part-segments")
+    own = stored(own.join(segs.select("segment", "id").hint("merge"), "segment").drop("segment"), "part-segments", "zstd")
     release()
     with dealt_by_part_of_keys(spark):
-        links = stored(aligned(segs, 2 * width), "links")
+        links = stored(aligned(segs, 2 * width), "links", "zstd")
     release(segs)
 
     mine = own.join(links.select("id", "links").hint("merge"), "id", "left")
-    counts = stored(pair_counts(parts_with(codes, mine, n_parts)), "pair-counts").withColumn("a", F.expr(f"link div {IDS}"))
+    counts = stored(pair_counts(parts_with(codes, mine, n_parts)), "pair-counts", "zstd").withColumn("a", F.expr(f"link div {IDS}"))
     release()
     most = counts.groupBy("a").agg(F.max("n").alias("most"))
     counts = counts.join(most.hint("merge"), "a").select("link", "n", (F.col("n") == F.col("most")).cast("long").alias("best"))
     each = links.select("id", F.explode("links").alias("link")).join(counts.hint("merge"), "link")
     sums = each.groupBy("id").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
-    figures = stored(links.drop("links").join(sums.hint("merge"), "id"), "segment-figures")
+    figures = stored(links.drop("links").join(sums.hint("merge"), "id"), "segment-figures", "zstd")
     release(links)
 
     return summed(parts_with(codes, own.join(figures.hint("merge"), "id", "left"), n_parts), with_groups=with_groups)

@@ -27,11 +27,11 @@ def scratch(spark: SparkSession) -> str:
     return top
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes a frame to the shared folder and reads it again: cuts lineage, and a lost executor takes nothing with it."""
     spark = df.sparkSession
     path = f"{scratch(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -45,8 +45,9 @@ def release(*frames: DataFrame) -> None:
     for df in frames:
         path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    spark._jvm.System.gc()  # shuffles go with the plans that made them
+    for _ in range(2):  # shuffles go with the plans that made them, once these are found to be unused
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 #: Rows up to which a table of ids, hashes or short strings may be broadcast: some 30 MB.
