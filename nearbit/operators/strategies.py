@@ -254,10 +254,10 @@ def _anchor_set(points: DataFrame, spec: Spec) -> AnchorSet:
 def homes(points: DataFrame, spec: Spec) -> DataFrame:
     """``(l, c)``: each distinct value's nearest anchor within ``d``, ties to the smaller; what no anchor covers is its own."""
     values = points.select("v").distinct()
-    if spec.anchors is None and A.sizing(spec.bits, spec.d)["anchors"] == 1 << spec.bits:  # a draw from the universe would be all of it
-        if not spec.reach:
+    if spec.anchors is None and A.sizing(spec.bits, spec.d)["anchors"] == 1 << spec.bits:
+        if A.target(spec.bits, spec.d) == 1 << spec.bits:  # it takes every string to cover all
             return values.select(F.col("v").alias("l"), F.col("v").alias("c"))
-        given = AnchorSet(A.covering(values, spec.bits, spec.reach, spec.seed))
+        given = AnchorSet(A.covering(values, spec.bits, spec.reach, spec.seed))  # too many to draw from the universe
     else:
         given = _anchor_set(points, spec)
     how = A.way(given, values, spec.bits, spec.reach)
