@@ -9,7 +9,8 @@ whose sizes give each group its first rank, so no length meets in one task.
 
 Documents end with ``end_id``, so the empty one has one token. Only those
 longer than the capacity are cut. Null texts count as empty, null ids keep their
-pieces; repeated rows are packed each.
+pieces; repeated rows are packed each. A very long text is cut into as many
+pieces as it takes; ties in length take slots by id; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -169,7 +170,9 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 def pack(df: DataFrame, *, capacity: int = CAPACITY, **options) -> DataFrame:
     """The pieces of :func:`pieces` with ``sequence_id`` and ``offset``."""
     with_ids = options.get("with_ids", False)
-    cut = stored(pieces(df, capacity=capacity, **options), "pieces")
+    # Pieces without an id get a number, written with them, so that many alike are not ranked in one group.
+    cut = pieces(df, capacity=capacity, **options)
+    cut = stored(cut.withColumn("nameless", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), "pieces")
     spark = df.sparkSession
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows
     keys = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
@@ -181,7 +184,7 @@ def pack(df: DataFrame, *, capacity: int = CAPACITY, **options) -> DataFrame:
     dealt = F.get(F.split(F.lit(",".join(map(str, groups))), ",").cast("array<int>"), F.col("length").cast("int"))
     # Rows that agree in all of these are alike, so it does not matter which takes which slot.
     order = [F.col(c) for c in ("doc_id", "piece", "ids_crc32")]
-    salted = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece"), dealt).cast("int"))
+    salted = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "nameless"), dealt).cast("int"))
     ranked = salted.withColumn("r", F.row_number().over(W.partitionBy("length", "g").orderBy(*order)) - 1)
     sizes = salted.where(dealt > 1).groupBy("length", "g").agg(F.count("*").alias("n"))
     before = sizes.select("length", "g", (F.sum("n").over(W.partitionBy("length").orderBy("g")) - F.col("n")).alias("before"))
