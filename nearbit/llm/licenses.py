@@ -9,11 +9,14 @@ retrieves: the match is decided by the share of the template's shingles that
 the passage really holds.
 
 Null and empty texts match nothing; repeated rows and null ids keep their rows.
+Very long texts are read whole; of passages that tie, the first stays. Extra
+columns are left out, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +32,28 @@ WORDS, PERCENT, COORDS = 5, 80, 64
 UNIT = 4
 LETTERS = re.compile(r"[^\W_]+")
 
+# Words that licences spell in two ways.
+SPELLING = {"licence": "license", "licences": "licenses", "licenced": "licensed", "licencing": "licensing", "sublicence": "sublicense", "authorisation": "authorization", "authorised": "authorized", "organisation": "organization", "whilst": "while", "favour": "favor"}
+
 # The wording of public licences and notices.
 TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "bsd-2-clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "bsd-3-clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     "cc-by-4.0": "Licensed under CC BY 4.0.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
@@ -44,13 +63,24 @@ TEMPLATES = {
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "mit": "Released under the MIT License.",
     "mit-header": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+    "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+    "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
+    "zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+    "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+    "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
 }
 
 
 def words(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    return [SPELLING.get(w, w) for w in LETTERS.findall(text.lower())] if text else []
 
 
 class Scanner:
@@ -102,14 +132,24 @@ class Scanner:
                 found += self._verify(name, own, s, ranges, k)
             near.clear()
         kept: list[tuple[str, int, int, float]] = []
+        starts: list[int] = []  # of those kept, in order, with their ends: they lie apart, so neighbours decide
+        stops: list[int] = []
         # Of passages that overlap, the one that holds most of its template stays: a version does not count as its sister.
         for n, *m in sorted(found, key=lambda m: (-m[0], -m[4], m[1], m[2])):
-            if all(m[2] <= x[1] or m[1] >= x[2] for x in kept):
+            at = bisect_left(starts, m[1])
+            if (at == len(starts) or m[2] <= starts[at]) and (at == 0 or stops[at - 1] <= m[1]):
+                starts.insert(at, m[1])
+                stops.insert(at, m[2])
                 kept.append(tuple(m))
         return sorted(kept, key=lambda m: (m[1], m[0]))
 
     def _verify(self, name: str, own: np.ndarray, s: np.ndarray, ranges: list[tuple[int, int]], k: int) -> list[tuple[int, str, int, int, float]]:
-        """As many passages as hold enough of the template without overlap; of equally many, the fullest, then the shortest."""
+        """Passages that lie apart and hold enough of the template; of all such choices the best, then the shortest.
+
+        A passage counts as much as it holds beyond half the threshold: so whole
+        copies in a row are not cut into more passages of just enough, and two
+        copies with a word changed are not taken for one.
+        """
         inside = np.zeros(len(s), bool)
         for lo, hi in ranges:
             inside[lo:hi] = True
@@ -117,19 +157,26 @@ class Scanner:
         at = at[np.isin(s[at], own)]
         span = 2 * len(own) + k  # room for words put in
         need = max(1, -(-self.percent * len(own) // 100))
-        # From the last hit on: how many passages, what they hold, less their lengths; and the first of them.
-        best: list[tuple[int, int, int]] = [(0, 0, 0)] * (len(at) + 1)
-        first: list[tuple[int, int, int, int] | None] = [None] * (len(at) + 1)
-        for i in range(len(at) - 1, -1, -1):
+        last = np.searchsorted(at, at + span).tolist()
+        behind = np.searchsorted(at, at + k).tolist()
+        order = np.argsort(s[at], kind="stable")
+        before = np.full(len(at), -1)  # the hit before of the same shingle
+        same = s[at][order]
+        before[order[1:]] = np.where(same[1:] == same[:-1], order[:-1], -1)
+        place = at.tolist()
+        # From the last hit on: what the passages count, less their lengths; and the first of them.
+        best: list[tuple[int, int]] = [(0, 0)] * (len(place) + 1)
+        first: list[tuple[int, int, int, int] | None] = [None] * (len(place) + 1)
+        for i in range(len(place) - 1, -1, -1):
             best[i], first[i] = best[i + 1], first[i + 1]
-            a = int(at[i])
-            reach = at[i : int(np.searchsorted(at, a + span))]
-            new = np.sort(np.unique(s[reach], return_index=True)[1])
-            ends = reach[new[need - 1 :]] + k
-            for n, end, j in zip(range(need, len(new) + 1), ends.tolist(), np.searchsorted(at, ends).tolist(), strict=True):
-                total = (best[j][0] + 1, best[j][1] + n, best[j][2] - (end - a))
+            if last[i] - i < need:
+                continue
+            new = np.flatnonzero(before[i : last[i]] < i)[need - 1 :] + i
+            for n, x in enumerate(new.tolist(), need):
+                end, j = place[x] + k, behind[x]
+                total = (best[j][0] + 200 * n - self.percent * len(own), best[j][1] - (end - place[i]))
                 if total >= best[i]:
-                    best[i], first[i] = total, (n, a, end, j)
+                    best[i], first[i] = total, (n, place[i], end, j)
         out, m = [], first[0]
         while m:
             out.append((m[0], name, m[1], m[2], m[0] / len(own)))

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from nearbit.llm import decontam, html_text, langid, licenses, near_dup, packing, pii, quality, queries, shingles, token_counts, toxicity
+from nearbit.llm import components, decontam, html_text, langid, licenses, near_dup, packing, pii, quality, queries, shingles, token_counts, toxicity
 from nearbit.llm.common import table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -226,6 +226,19 @@ def test_packing_salts_common_lengths(spark, monkeypatch):
     assert len({r.sequence_id for r in got}) == -(-sum(r.length for r in got) // 10)
 
 
+def test_packing_deals_pieces_without_an_id(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 50)
+    seen = []
+    kept = packing.stored
+    monkeypatch.setattr(packing, "stored", lambda df, name: seen.append(kept(df, name)) or seen[-1])
+    got = packing.pack(spark.createDataFrame([(None, "a b c")] * 1_500 + [(None, None)] * 30, "doc_id long, text string"), capacity=10).collect()
+    assert len(got) == 1_530 == len({(r.sequence_id, r.offset) for r in got})
+    mine = [r for r in seen[0].collect() if r.length == 4]
+    assert len({(r.ids_crc32, r.nameless) for r in mine}) == 1_500 and {r.doc_id for r in mine} == {None}
+    sizes = Counter(hash((r.ids_crc32, r.nameless)) % 30 for r in mine)
+    assert max(sizes.values()) < 150
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_plan_uses_every_rank_once(seed):
     rng = random.Random(seed)
@@ -593,3 +606,88 @@ def test_each_copy_of_a_licence_counts():
     changed = [" ".join([*w[:at], "changed", *w[at + 1 :]]) for at in (3, len(w) - 4)]
     got = scanner.scan(" ".join(changed))  # neither is whole, both together hold everything
     assert [(m[0], m[3] < 1) for m in got] == [("gpl-3.0-header", True)] * 2
+
+
+def passages_brute(w, own, k, percent):
+    """The most that passages that lie apart count, by words: of each, what it holds of the shingles ``own`` beyond half the threshold."""
+    need, span = max(1, -(-percent * len(own) // 100)), 2 * len(own) + k
+    grams = [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+    most = [0] * (len(w) + 1)
+    for end in range(1, len(w) + 1):
+        most[end] = most[end - 1]
+        seen = set()
+        for a in range(end - k, max(0, end - k - span + 1) - 1, -1):
+            if grams[a] in own:
+                seen.add(grams[a])
+            if len(seen) >= need:
+                most[end] = max(most[end], most[a] + 200 * len(seen) - percent * len(own))
+    return most[-1]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_licence_passages_by_brute_force(seed):
+    rng = random.Random(seed)
+    for name in ("all-rights-reserved", "mit", "unlicense", "gpl-3.0-header", "zlib-text"):
+        template = licenses.words(licenses.TEMPLATES[name])
+        k = min(licenses.WORDS, len(template))
+        own = {tuple(template[i : i + k]) for i in range(len(template) - k + 1)}
+        scanner = licenses.Scanner({name: licenses.TEMPLATES[name]})
+        found = 0
+        for _ in range(12):
+            w = []
+            for _ in range(rng.randrange(1, 7)):
+                part = list(template)
+                for _ in range(rng.choice((0, 0, 1, 2, 6))):  # around the threshold, either side
+                    part[rng.randrange(len(part))] = f"x{rng.randrange(99)}"
+                cut = rng.choice((0, 0, 0, len(part) // 5, len(part) // 2))
+                w += part[cut:] + [f"y{rng.randrange(99)}" for _ in range(rng.randrange(4))]
+            n = passages_brute(w, own, k, licenses.PERCENT)
+            got = scanner.scan(" ".join(w))
+            assert sum(round(200 * m[3] * len(own)) - licenses.PERCENT * len(own) for m in got) == n, (name, " ".join(w), got)
+            assert all(a[2] <= b[1] for a, b in zip(got, got[1:])) and all(m[3] >= 0.8 for m in got)
+            found += len(got)
+        assert found
+
+
+def test_licences_spelt_otherwise_and_many_at_once():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    assert [m[0] for m in scanner.scan("Released under the MIT Licence.")] == ["mit"]
+    assert [m[0] for m in scanner.scan(licenses.TEMPLATES["mit-text"].replace("sublicense", "sublicence"))] == ["mit-text"]
+    began = time.process_time()
+    assert len(scanner.scan("Released under the MIT License. " * 16_000)) == 16_000
+    assert time.process_time() - began < 5
+
+
+def components_brute(edges):
+    top = {x: x for e in edges for x in e}
+
+    def root(x):
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        top[max(a, b)] = min(a, b)
+    return {x: root(x) for x in top}
+
+
+@pytest.mark.parametrize("crowd", (3, 10_000))
+def test_components(spark, monkeypatch, crowd):
+    monkeypatch.setattr(components, "CROWD", crowd)
+    monkeypatch.setattr(components, "SALTS", 5)
+    rng = random.Random(crowd)
+    star = [(500, i) for i in range(1, 80)] + [(900, 900 + i) for i in range(1, 60)]
+    chain = [(i, i + 1) for i in range(2_000, 2_050)]
+    loose = [(rng.randrange(3_000, 3_100), rng.randrange(3_000, 3_100)) for _ in range(60)]
+    edges = [e for e in (star + chain + loose) * 2 if e[0] != e[1]]
+    made = []
+    kept = components.stored
+    monkeypatch.setattr(components, "stored", lambda df, name: made.append(kept(df, name)) or made[-1])
+    got = components.components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r.node: r.label for r in got.collect()} == components_brute(edges)
+    assert got.count() == len(components_brute(edges))
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(df.stored_at) for df in made]
+    there = [p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) for p in paths]
+    assert there == [False] * (len(made) - 1) + [True]  # of the rounds' tables the last is left
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
